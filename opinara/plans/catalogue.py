@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+from opinara.plans import relational, textual
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def queries() -> dict[str, Query]:
+    return relational.QUERIES | textual.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return relational.ORACLES | textual.ORACLES
