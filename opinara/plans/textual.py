@@ -1,6 +1,227 @@
-"""Text queries: cleaning, quality gate, language, sentences, aspects, parsing."""
+"""Text queries: cleaning, quality gate, language, sentences, aspects, parsing, product filters."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from opinara.functions import annotating, cleaning, parsing, products, segmenting
+from opinara.functions.taxonomy import Taxonomy
+from opinara.operators import corpus, scores
+from opinara.plans import views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+#: Sentences of the synthetic reviews: three are picked per order by its key.
+OPENERS = ("The battery lasts all day and charges very fast.", "Battery drains quickly, not good at all.", "The camera takes sharp and vivid photos.", "Photos look grainy in low light.", "The screen is bright and the colors are stunning.")
+MIDDLES = ("Performance is smooth, but the phone heats up while gaming.", "It hangs and the apps are sluggish.", "The design feels premium however the weight is heavy.", "Great value for money.", "Overpriced, not worth it.", "Delivery came on a Tuesday.", "I use it for work.")
+CLOSERS = ("Really happy with the display.", "It dies by lunchtime.", "Nice.")
+
+
+def review_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Synthetic reviews over orders: review_id, product_id, rating, body."""
+    k = F.col("review_id")
+    pick = lambda values, at: F.element_at(F.array(*(F.lit(v) for v in values)), (at + 1).cast("int"))
+    body = F.concat_ws(" ", pick(OPENERS, k % len(OPENERS)), pick(MIDDLES, (k * 3) % len(MIDDLES)), pick(CLOSERS, (k * 5) % len(CLOSERS)))
+    return views.reviews(spark, sf_dir).select("review_id", "product_id", "rating", body.alias("body"))
+
+
+def _sql_list(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+REVIEW_TEXTS = f"""SELECT review_id, product_id, rating, {_sql_list(OPENERS)}[1 + review_id % {len(OPENERS)}] || ' ' || {_sql_list(MIDDLES)}[1 + (review_id * 3) % {len(MIDDLES)}] || ' ' || {_sql_list(CLOSERS)}[1 + (review_id * 5) % {len(CLOSERS)}] AS body FROM reviews"""
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+
+
+_CANONICAL = "trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, sha256({_CANONICAL}) AS content_hash FROM documents")
+def content_hashes(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", cleaning.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query(f"SELECT doc_id, h AS content_hash FROM (SELECT doc_id, sha256({_CANONICAL}) AS h, row_number() OVER (PARTITION BY sha256({_CANONICAL}) ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
+def dedupe_hash(spark, sf_dir):
+    # smallest id of a hash: an aggregation, so a hash of many copies is combined before the shuffle
+    hashed = content_hashes(spark, sf_dir)
+    return hashed.groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"))
+
+
+@query(f"SELECT h AS content_hash, count(*) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, sha256({_CANONICAL}) AS h FROM documents) GROUP BY 1 HAVING count(*) > 1")
+def hash_collisions(spark, sf_dir):
+    return content_hashes(spark, sf_dir).groupBy("content_hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+
+
+_WORDS = "(SELECT list_distinct(regexp_extract_all(lower(text), '[a-z'']+')))"
+_ENGLISH = "['the','and','is','it','this','for','with','but','very','good','phone','battery','camera','not','was','have','great','you']"
+_LANG = f"CASE WHEN length(text) > 0 AND length(regexp_replace(lower(text), '[^a-z]', '', 'g')) > 0 AND length(regexp_replace(lower(text), '[^a-z]', '', 'g')) >= 0.4 * length(lower(text)) AND len(list_intersect({_WORDS}, {_ENGLISH})) >= 2 THEN 'en' END"
+
+
+@query(f"SELECT doc_id, {_LANG} AS language FROM documents")
+def heuristic_language(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", cleaning.heuristic_language(F.col("text")).alias("language"))
+
+
+@query(f"SELECT lang, coalesce({_LANG}, 'unknown') AS said, count(*) AS n FROM documents GROUP BY 1, 2")
+def language_vs_label(spark, sf_dir):
+    said = F.coalesce(cleaning.heuristic_language(F.col("text")), F.lit("unknown"))
+    return _documents(spark, sf_dir).groupBy("lang", said.alias("said")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), 'https?://\\S+|www\\.\\S+', ' ', 'g'), '\\S+@\\S+\\.\\S+', ' ', 'g'), '\\s+', ' ', 'g'))) AS text_hash FROM documents")
+def clean_text_basic(spark, sf_dir):
+    t = F.regexp_replace("text", "<[^>]+>", " ")
+    for pattern in (r"https?://\S+|www\.\S+", r"\S+@\S+\.\S+", r"\s+"):
+        t = F.regexp_replace(t, pattern, " ")
+    return _documents(spark, sf_dir).select("doc_id", F.sha2(F.trim(t), 256).alias("text_hash"))
+
+
+@query()
+def clean_text_full(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", cleaning.normalise_text(F.col("text")).alias("cleaned"))
+
+
+@query()
+def quality_gate(spark, sf_dir):
+    checked = cleaning.preprocess(_documents(spark, sf_dir).withColumnRenamed("text", "body"), title=None)
+    return checked.select("doc_id", "content_hash", "language", "is_spam", "excluded_reason", "usable")
+
+
+@query("SELECT CASE WHEN length(text) = 0 THEN 'empty' WHEN length(text) < 15 THEN 'short' ELSE 'long' END AS size, count(*) AS n FROM documents GROUP BY 1")
+def text_sizes(spark, sf_dir):
+    size = F.when(F.length("text") == 0, "empty").when(F.length("text") < 15, "short").otherwise("long")
+    return _documents(spark, sf_dir).groupBy(size.alias("size")).agg(F.count("*").alias("n"))
+
+
+@query(views.with_views("SELECT review_id, len(regexp_extract_all(body, '[A-Za-z0-9_'']+')) AS words FROM review_texts", review_texts=REVIEW_TEXTS))
+def word_count(spark, sf_dir):
+    return review_texts(spark, sf_dir).select("review_id", segmenting.word_count(F.col("body")).alias("words"))
+
+
+@query(views.with_views("SELECT review_id, len(regexp_split_to_array(regexp_replace(body, '([.!?]) +([A-Z0-9])', '\\1\n\\2', 'g'), '\n')) AS sentences FROM review_texts", review_texts=REVIEW_TEXTS))
+def sentence_split_basic(spark, sf_dir):
+    return review_texts(spark, sf_dir).select("review_id", F.size(segmenting.sentences(F.col("body"), merge=False)).cast("long").alias("sentences"))
+
+
+@query()
+def sentences_full(spark, sf_dir):
+    cleaned = _documents(spark, sf_dir).select("doc_id", cleaning.normalise_text(F.col("text")).alias("cleaned_body"))
+    return segmenting.sentence_rows(cleaned).select("doc_id", "position", "char_count", "word_count")
+
+
+def _sentences(spark, sf_dir):
+    return segmenting.sentence_rows(review_texts(spark, sf_dir).withColumnRenamed("body", "cleaned_body"))
+
+
+@query()
+def absa_lexicon(spark, sf_dir):
+    return annotating.mention_rows(_sentences(spark, sf_dir)).select("review_id", "product_id", "position", "aspect", "sentiment", "confidence", "opinion_term")
+
+
+@query()
+def absa_product_scores(spark, sf_dir):
+    return scores.aspect_scores(annotating.mention_rows(_sentences(spark, sf_dir)))
+
+
+@query()
+def review_nested(spark, sf_dir):
+    rows = _sentences(spark, sf_dir).withColumn("sentence_id", F.col("review_id") * 1000 + F.col("position"))
+    mentions = annotating.mention_rows(rows).select("sentence_id", "aspect", "sentiment")
+    nested = corpus.nested_review(review_texts(spark, sf_dir).select("review_id"), rows.select("review_id", "sentence_id", "position", "text"), mentions)
+    return nested.select("review_id", F.size("sentences").alias("sentences"), F.aggregate("sentences", F.lit(0), lambda a, s: a + F.size(s["aspects"])).alias("mentions"))
+
+
+def _aspect_pattern(aspect: str) -> str:
+    words = sorted(Taxonomy().keywords[aspect], key=len, reverse=True)
+    return "|".join(w.replace("'", "''") for w in words)
+
+
+@query(
+    views.with_views(
+        "SELECT review_id, " + ", ".join(f"regexp_matches(lower(body), '(^|\\W)({_aspect_pattern(a)})($|\\W)') AS {a}" for a in views.ASPECTS) + " FROM review_texts",
+        review_texts=REVIEW_TEXTS,
+    )
+)
+def aspect_mentions(spark, sf_dir):
+    has = lambda a: F.regexp_like("body", F.lit(rf"(?iU)(?<!\w)({'|'.join(sorted(Taxonomy().keywords[a], key=len, reverse=True))})(?!\w)"))
+    return review_texts(spark, sf_dir).select("review_id", *(has(a).alias(a) for a in views.ASPECTS))
+
+
+_NUMBERS = ["$1,199.00", "1.299,00 EUR", "₹1,29,900", "799", "no number", "1,50", "12.5", "1.234.567"]
+
+
+@query("SELECT * FROM (VALUES ('$1,199.00', 1199.0, 'USD'), ('1.299,00 EUR', 1299.0, 'EUR'), ('₹1,29,900', 129900.0, 'INR'), ('799', 799.0, NULL), ('no number', NULL, NULL), ('1,50', 1.5, NULL), ('12.5', 12.5, NULL), ('1.234.567', 1234567.0, NULL)) t(text, price, currency)")
+def parse_prices(spark, sf_dir):
+    rows = spark.createDataFrame([(t,) for t in _NUMBERS], "text string")
+    return rows.select("text", parsing.parse_price(F.col("text")).alias("p")).select("text", "p.price", "p.currency")
+
+
+_DATES = ["Reviewed in the United States on March 5, 2024", "Reviewed in India on 12 April 2024", "2023-07-09", "5.6.2022", "no date"]
+
+
+@query("SELECT * FROM (VALUES ('Reviewed in the United States on March 5, 2024', '2024-03-05', 'United States'), ('Reviewed in India on 12 April 2024', '2024-04-12', 'India'), ('2023-07-09', '2023-07-09', NULL), ('5.6.2022', '2022-06-05', NULL), ('no date', NULL, NULL)) t(text, day, country)")
+def parse_dates(spark, sf_dir):
+    rows = spark.createDataFrame([(t,) for t in _DATES], "text string")
+    return rows.select("text", parsing.parse_review_date(F.col("text")).alias("d")).select("text", F.date_format("d.date", "yyyy-MM-dd").alias("day"), "d.country")
+
+
+_COUNTS = ["12,483 ratings", "1.2K ratings", "One person found this helpful", "23 people found this helpful", "none"]
+
+
+@query("SELECT * FROM (VALUES ('12,483 ratings', 12483, 12483), ('1.2K ratings', 1200, 12), ('One person found this helpful', NULL, 1), ('23 people found this helpful', 23, 23), ('none', NULL, NULL)) t(text, ratings, votes)")
+def parse_counts(spark, sf_dir):
+    rows = spark.createDataFrame([(t,) for t in _COUNTS], "text string")
+    return rows.select("text", parsing.parse_count(F.col("text")).alias("ratings"), parsing.parse_helpful_votes(F.col("text")).alias("votes"))
+
+
+_RATINGS = ["4.3 out of 5 stars", "4,5 von 5 Sternen", "nonsense", "4", "9.5"]
+
+
+@query("SELECT * FROM (VALUES ('4.3 out of 5 stars', 4.3), ('4,5 von 5 Sternen', 4.5), ('nonsense', NULL), ('4', 4.0), ('9.5', NULL)) t(text, rating)")
+def parse_ratings(spark, sf_dir):
+    rows = spark.createDataFrame([(t,) for t in _RATINGS], "text string")
+    return rows.select("text", parsing.parse_rating(F.col("text")).alias("rating"))
+
+
+LISTINGS = [
+    ("SAMSUNG Galaxy S24 128GB Unlocked Smartphone", ["Cell Phones"]),
+    ("Google Pixel 8 Pro - 256GB 5G Smartphone", ["Unlocked Cell Phones"]),
+    ("Case for Galaxy S24 Ultra 5G", ["Cases"]),
+    ("Screen Protector Tempered Glass 3 Pack", ["Accessories"]),
+    ("USB C Fast Charger Cable 2m", ["Chargers"]),
+    ("Apple iPhone 15 Pro 256GB", ["Electronics", "Smartphones"]),
+    ("Apple iPhone 14 128GB", ["Accessories"]),
+    ("Garden Hose", ["Garden"]),
+    ("", ["Cell Phones"]),
+]
+
+
+@query("SELECT * FROM (VALUES ('accepted', 3), ('accessory_phrase', 2), ('not_phone_like', 1), ('no_product_name', 1), ('no_phone_category', 1), ('no_title', 1)) t(gate, n)")
+def product_filter_funnel(spark, sf_dir):
+    rows = spark.createDataFrame(LISTINGS, "title string, categories array<string>")
+    return products.funnel(rows, products.smartphone_gate(F.col("title"), F.col("categories"))).select("gate", "n")
+
+
+@query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS heading FROM pages")
+def html_title_h1(spark, sf_dir):
+    p = views.table(spark, sf_dir, "pages")
+    return p.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("heading"))
