@@ -8,12 +8,16 @@ element thus carry different ranks, which makes estimates less variable than ind
 Plan for one table of ``n`` documents:
 
 * documents with equal shingle sets collapse to their smallest id (map-side combined, hot copies are cheap);
-* a bucket (band value) links its members to one centre instead of to each other; centres differ by round,
-  and pairs that are already in one component are not looked at again, so a large group of near copies costs
-  rows in proportion to its size.  The last round takes every remaining pair of a bucket whose members are
-  in different components, so no cap is needed;
-* pairs whose signatures agree far below the threshold are skipped (``SLACK`` below it, about six standard
-  deviations), all others are confirmed on the full shingle sets.
+* a bucket (band value) compares its members' signatures with three of them (the smallest and two random ones),
+  never all with all.  Pairs that agree loosely (``LOOSE``) make *clusters*: families of copies, whatever their size;
+* a cluster is cut into blocks of about ``BLOCK`` documents.  Each block meets the first block in one task, where all
+  pairs are looked at in memory, most alike first, and only what is not yet connected is confirmed on the full
+  shingle sets.  In large clusters the documents outside the main component then meet every block, so no pair of
+  different components stays untested;
+* members of one bucket in different clusters are compared pair by pair.
+
+A pair is confirmed on full sets unless its signature estimate lies ``SLACK`` (about five standard deviations) below the
+threshold.
 """
 
 from __future__ import annotations
@@ -33,7 +37,9 @@ BANDS = 51
 ROWS = 5
 THRESHOLD = 75
 #: How far below the threshold (percent) a signature estimate may lie and still be verified.
-SLACK = 17
+SLACK = 14
+#: Signature agreement (percent) from which bucket members belong to one cluster; documents of a block.
+LOOSE, BLOCK = 35, 512
 
 _U = np.uint64
 
@@ -126,8 +132,76 @@ def _estimate_batches(least: float):
             if not batch.num_rows:
                 continue
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, SLOTS) for c in (2, 3))
-            keep = pa.array(estimated_percent(a, b) >= least)
-            yield batch.select([0, 1]).filter(keep)
+            yield batch.select([0, 1]).filter(pa.array(estimated_percent(a, b) >= least))
+
+    return run
+
+
+def _sets_of(column, words: int) -> list[np.ndarray]:
+    raw, offsets = shingles.string_buffers(column)
+    rows: list[np.ndarray] = []
+    for i, j in shingles.chunks(offsets):
+        flat, counts = shingles.shingle_hashes(raw, offsets[i : j + 1], words)
+        rows += np.split(flat, np.cumsum(counts)[:-1])
+    return rows
+
+
+def link_block(ids: np.ndarray, sets: list[np.ndarray], groups: np.ndarray, threshold: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Confirmed links that connect documents of different groups: a spanning forest, not all pairs.
+
+    Pairs are tried most alike first and only while their documents are unconnected.  ``wanted`` marks documents
+    of which a pair needs at least one.
+    """
+    counts = np.array([len(s) for s in sets])
+    small = short_signatures(super_minhash(np.concatenate(sets) if sets else np.empty(0, _U), counts))
+    where = {g: k for k, g in reversed(list(enumerate(groups.tolist())))}
+    parent = [where[g] for g in groups.tolist()]
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    left, right, alike = [], [], []
+    for i in range(len(ids) - 1):
+        agree = (small[i + 1 :] == small[i]).sum(axis=1) / SLOTS
+        estimate = 100 * (agree - 1 / 256) / (1 - 1 / 256)
+        sizes = counts[i + 1 :]
+        fits = 100 * np.minimum(sizes, counts[i]) >= threshold * np.maximum(sizes, counts[i])
+        fits &= (estimate >= threshold - SLACK) & (groups[i + 1 :] != groups[i])
+        if wanted is not None and not wanted[i]:
+            fits &= wanted[i + 1 :]
+        j = np.flatnonzero(fits)
+        left.append(np.full(len(j), i))
+        right.append(j + i + 1)
+        alike.append(estimate[j])
+    if not left:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    left, right, alike = (np.concatenate(x) for x in (left, right, alike))
+    out_a, out_b = [], []
+    for k in np.argsort(-alike, kind="stable").tolist():
+        i, j = int(left[k]), int(right[k])
+        x, y = find(i), find(j)
+        if x == y:
+            continue
+        common, union = shingles.jaccard_counts(sets[i], sets[j])
+        if union and 100 * common >= threshold * union:
+            parent[max(x, y)] = min(x, y)
+            out_a.append(ids[i])
+            out_b.append(ids[j])
+    return np.array(out_a, dtype=np.int64), np.array(out_b, dtype=np.int64)
+
+
+def _link_tile(words: int, threshold: int):
+    def run(table: pa.Table) -> pa.Table:
+        if table.num_rows < 2:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        table = table.combine_chunks()
+        ids, groups = table.column("rep").to_numpy(), table.column("comp").to_numpy()
+        wanted = table.column("wanted").to_numpy(zero_copy_only=False).astype(bool)
+        a, b = link_block(ids, _sets_of(table.column("text"), words), groups, threshold, None if wanted.all() else wanted)
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
     return run
 
@@ -137,43 +211,53 @@ def _verify_batches(words: int, threshold: int):
         for batch in batches:
             for piece in range(0, batch.num_rows, 256):  # bounded memory for pairs of long texts
                 part = batch.slice(piece, 256)
-                sets = []
-                for c in (2, 3):
-                    raw, offsets = shingles.string_buffers(part.column(c))
-                    rows = []
-                    for i, j in shingles.chunks(offsets):
-                        flat, counts = shingles.shingle_hashes(raw, offsets[i : j + 1], words)
-                        rows += np.split(flat, np.cumsum(counts)[:-1])
-                    sets.append(rows)
-                sizes = [shingles.jaccard_counts(x, y) for x, y in zip(*sets, strict=True)]
-                keep = pa.array([100 * i >= threshold * u and u > 0 for i, u in sizes], type=pa.bool_())
-                yield part.select([0, 1]).filter(keep)
+                sizes = [shingles.jaccard_counts(x, y) for x, y in zip(_sets_of(part.column(2), words), _sets_of(part.column(3), words), strict=True)]
+                yield part.select([0, 1]).filter(pa.array([100 * i >= threshold * u and u > 0 for i, u in sizes], type=pa.bool_()))
 
     return run
 
 
-def _confirmed(pairs: DataFrame, signatures: DataFrame, docs: DataFrame, words: int, threshold: int) -> DataFrame:
-    """The pairs ``a < b`` whose full sets reach the threshold, as a table in the shared folder."""
+def _alike(pairs: DataFrame, signatures: DataFrame, least: float) -> DataFrame:
+    """The distinct pairs whose signatures agree to at least ``least`` percent, as a table."""
     sig = signatures.select("rep", "sig")
-    near = (
-        pairs.distinct()
-        .join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a")
-        .join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
-        .select("a", "b", "sa", "sb")
-        .mapInArrow(_estimate_batches(threshold - SLACK), "a long, b long")
-    )
-    near = store.materialise(near, "near-pairs")
-    if near.isEmpty():
-        return near
-    wanted = near.select(F.col("a").alias("doc_id")).unionAll(near.select(F.col("b").alias("doc_id"))).distinct()
-    texts = store.materialise(docs.join(wanted, "doc_id", "left_semi"), "near-texts")
-    full = (
-        near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-        .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-        .select("a", "b", "ta", "tb")
-        .mapInArrow(_verify_batches(words, threshold), "a long, b long")
-    )
-    return store.materialise(full, "near-links")
+    joined = pairs.distinct().join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
+    return store.materialise(joined.select("a", "b", "sa", "sb").mapInArrow(_estimate_batches(least), "a long, b long"), "near-pairs", thin=True)
+
+
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.join(ids.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
+
+
+def _cluster_links(members: DataFrame, texts: DataFrame, words: int, threshold: int) -> DataFrame:
+    """Links that connect the documents (``rep, cluster``) of every cluster."""
+    work = _link_tile(words, threshold)
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    placed = members.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    # the first block goes to every task of its cluster, the others to their own
+    dealt = placed.join(texts, "rep").withColumn("tile", F.explode(F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))))
+    first = dealt.select("cluster", "tile", "rep", F.col("rep").alias("comp"), F.lit(True).alias("wanted"), "text").groupBy("cluster", "tile").applyInArrow(work, "a long, b long")
+    links = store.materialise(first, "near-links", thin=True)
+    large = store.materialise(placed.where("blocks > 1"), "near-large", thin=True)
+    if large.isEmpty():
+        return links
+    grouped = connected_components(links).withColumnRenamed("node", "rep")
+    named = large.join(grouped, "rep", "left").select("rep", "cluster", "blocks", "own", F.coalesce("component", "rep").alias("comp"))
+    per = named.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
+    main = per.groupBy("cluster").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    main = main.where("most < all").withColumn("parts", F.ceil((F.col("all") - F.col("most")) / F.lit(BLOCK)).cast("int")).select("cluster", "main", "parts")
+    apart = store.materialise(named.join(main, "cluster"), "near-apart", thin=True)
+    if apart.isEmpty():
+        return links
+    wanted = F.col("comp") != F.col("main")
+    part = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")).cast("int")
+    with_text = apart.join(texts, "rep")
+    rows = with_text.where(~wanted).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("cluster", F.col("own").alias("tile"), "part", "rep", "comp", F.lit(False).alias("wanted"), "text")
+    outside = with_text.where(wanted).withColumn("part", part).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", "tile", "part", "rep", "comp", F.lit(True).alias("wanted"), "text")
+    # documents outside the main component meet it block by block, and each other part by part
+    others = with_text.where(wanted).withColumn("part", part).withColumn("next", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    others = others.select("cluster", F.least("part", "next").alias("tile"), F.greatest("part", "next").alias("part"), "rep", "comp", F.lit(True).alias("wanted"), "text").withColumn("tile", -1 - F.col("tile"))
+    second = rows.unionAll(outside).unionAll(others).groupBy("cluster", "tile", "part").applyInArrow(work, "a long, b long")
+    return links.unionAll(store.materialise(second, "near-links", thin=True))
 
 
 def near_duplicates(docs: DataFrame, words: int = shingles.WORDS, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", signer=super_minhash) -> DataFrame:
@@ -181,7 +265,7 @@ def near_duplicates(docs: DataFrame, words: int = shingles.WORDS, threshold: int
 
     Documents are linked when ``100 * |intersection| >= threshold * |union|`` of their word-shingle sets.
     Null and empty texts have an empty set and are linked with nothing; rows with equal sets are one class;
-    repeated rows of one id give repeated rows; rows with a null id keep a null component and are kept.
+    ids should be unique (repeated rows of one id and text give repeated rows); rows with a null id keep a null component and are kept.
     ``signer`` makes the signatures of a batch of sets (documents x SLOTS).  Other columns are ignored, whatever their names.  An empty table gives an empty result.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -196,30 +280,30 @@ def near_duplicates(docs: DataFrame, words: int = shingles.WORDS, threshold: int
     ).where("k1 = j1 AND k2 = j2").select(F.col("doc_id").alias("rep"), "sig", "bands")
     reps = store.materialise(reps, "near-reps")
     rows = reps.select("rep", F.explode("bands").alias("key"))
-    # only buckets that hold several sets matter from here on
-    crowded = rows.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("top")).where("centre < top")
-    members = store.materialise(rows.join(crowded.select("key", "centre"), "key"), "near-members")
-
+    # only buckets that hold several sets matter from here on; each gets three centres
+    at = F.struct(F.xxhash64("rep", "key").alias("h"), "rep")
+    crowded = rows.groupBy("key").agg(F.min("rep").alias("c0"), F.max("rep").alias("top"), F.min(at)["rep"].alias("c1"), F.max(at)["rep"].alias("c2")).where("c0 < top")
+    members = store.materialise(rows.join(crowded.drop("top"), "key"), "near-members")
+    centred = members.select("rep", F.explode(F.array_distinct(F.array("c0", "c1", "c2"))).alias("centre")).where("rep <> centre")
+    loose = _alike(centred.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")), reps, LOOSE)
+    clusters = connected_components(loose).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     texts = source.where("doc_id IS NOT NULL")
-    links = _confirmed(members.where("centre < rep").select(F.col("centre").alias("a"), F.col("rep").alias("b")), reps, texts, words, threshold)
+    near_texts = store.materialise(_texts_of(texts, clusters), "near-texts")
+    links = _cluster_links(clusters, near_texts, words, threshold)
+
+    named = members.select("key", "rep").join(clusters, "rep", "left").select("key", "rep", F.coalesce("cluster", "rep").alias("cluster"))
+    named = store.materialise(named, "near-named")
+    mixed = named.groupBy("key").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo < hi").select("key")
+    apart = named.join(mixed, "key")
+    right = apart.select("key", F.col("rep").alias("rep2"), F.col("cluster").alias("cluster2"))
+    across = apart.join(right, "key").where("rep < rep2 AND cluster <> cluster2").select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+    across = _alike(across, reps, threshold - SLACK)
+    if not across.isEmpty():
+        wanted = across.select(F.col("a").alias("rep")).unionAll(across.select(F.col("b").alias("rep")))
+        told = store.materialise(_texts_of(texts, wanted), "near-texts")
+        full = across.join(told.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a").join(told.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
+        links = links.unionAll(store.materialise(full.select("a", "b", "ta", "tb").mapInArrow(_verify_batches(words, threshold), "a long, b long"), "near-links", thin=True))
     grouped = connected_components(links)
-    for last in (False, True):
-        grouped = store.materialise(grouped, "near-components")
-        named = members.select("key", "rep", "centre").join(grouped.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "centre", F.coalesce("component", "rep").alias("comp"))
-        mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct(F.xxhash64("rep", "key"), "rep", "comp")).alias("pick")).where("lo < hi")
-        open_rows = named.join(mixed.select("key", F.col("pick.rep").alias("other"), F.col("pick.comp").alias("other_comp")), "key")
-        if last:
-            open_rows = store.materialise(open_rows.select("key", "rep", "comp"), "near-open")
-            right = open_rows.select("key", F.col("rep").alias("rep2"), F.col("comp").alias("comp2"))
-            pairs = open_rows.join(right, "key").where("rep < rep2 AND comp <> comp2").select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
-        else:
-            pairs = open_rows.where("rep <> other AND comp <> other_comp").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
-        more = _confirmed(pairs, reps, texts, words, threshold)
-        if more.isEmpty():
-            continue
-        links = links.unionAll(more)
-        grouped = connected_components(links)
-    grouped = store.materialise(grouped, "near-components")
     of_class = classes.join(grouped.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     return (
         sets.select("doc_id", "n_shingles", "k1", "k2")

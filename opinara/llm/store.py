@@ -34,10 +34,13 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends there."""
+def materialise(df: DataFrame, label: str, thin: bool = False) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends there.
+
+    ``thin`` tables (ids and counts) are written by an eighth of the shuffle partitions.
+    """
     path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
+    (df.coalesce(max(1, partitions(df.sparkSession) // 8)) if thin else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
