@@ -40,8 +40,7 @@ _GENERIC = (
 _ENGLISH = "the and is it this for with but very good phone battery camera not was have great you".split()
 
 
-@F.pandas_udf("string")
-def _decoded(texts: pd.Series) -> pd.Series:
+def _decode(texts: pd.Series) -> pd.Series:
     def one(t):
         if t is None or (t.isascii() and "&" not in t):
             return t
@@ -50,9 +49,12 @@ def _decoded(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
+_decode.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+
+
 def strip_html(text: Column) -> Column:
     """Tags become blanks, then references are decoded (so an escaped tag survives as text)."""
-    return _decoded(F.regexp_replace(text, "<[^>]+>", " "))
+    return F.pandas_udf(_decode, "string")(F.regexp_replace(text, "<[^>]+>", " "))
 
 
 def normalise_text(text: Column) -> Column:
