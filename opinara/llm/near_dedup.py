@@ -8,8 +8,8 @@ element thus carry different ranks, which makes estimates less variable than ind
 Plan for one table of ``n`` documents:
 
 * documents with equal shingle sets collapse to their smallest id (map-side combined, hot copies are cheap);
-* a bucket (band value) compares its members' signatures with three of them (the smallest and two random ones),
-  never all with all.  Pairs that agree loosely (``LOOSE``) make *clusters*: families of copies, whatever their size;
+* a bucket (band value) compares its members' signatures with three of them (smallest id, smallest and largest
+  hash), never all with all.  Pairs that agree loosely (``LOOSE``) make *clusters*: families of copies, whatever their size;
 * a cluster is cut into blocks of about ``BLOCK`` documents.  Each block meets the first block in one task, where all
   pairs are looked at in memory, most alike first, and only what is not yet connected is confirmed on the full
   shingle sets.  In large clusters the documents outside the main component then meet every block, so no pair of
@@ -39,7 +39,7 @@ THRESHOLD = 75
 #: How far below the threshold (percent) a signature estimate may lie and still be verified.
 SLACK = 14
 #: Signature agreement (percent) from which bucket members belong to one cluster; documents of a block.
-LOOSE, BLOCK = 35, 512
+LOOSE, BLOCK = 25, 512
 
 _U = np.uint64
 
@@ -280,8 +280,9 @@ def near_duplicates(docs: DataFrame, words: int = shingles.WORDS, threshold: int
     ).where("k1 = j1 AND k2 = j2").select(F.col("doc_id").alias("rep"), "sig", "bands")
     reps = store.materialise(reps, "near-reps")
     rows = reps.select("rep", F.explode("bands").alias("key"))
-    # only buckets that hold several sets matter from here on; each gets three centres
-    at = F.struct(F.xxhash64("rep", "key").alias("h"), "rep")
+    # only buckets that hold several sets matter from here on; each gets three centres, by an order that all
+    # buckets share: the buckets of one family mostly choose the same few
+    at = F.struct(F.xxhash64("rep").alias("h"), "rep")
     crowded = rows.groupBy("key").agg(F.min("rep").alias("c0"), F.max("rep").alias("top"), F.min(at)["rep"].alias("c1"), F.max(at)["rep"].alias("c2")).where("c0 < top")
     members = store.materialise(rows.join(crowded.drop("top"), "key"), "near-members")
     centred = members.select("rep", F.explode(F.array_distinct(F.array("c0", "c1", "c2"))).alias("centre")).where("rep <> centre")
