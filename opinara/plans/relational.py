@@ -72,7 +72,7 @@ def aspect_corpus_mean(spark, sf_dir):
     return means.withColumn("corpus_mean", F.round("corpus_mean", 6))
 
 
-@query(_also(_SCORES, "SELECT aspect, count(score) AS products, sum(mention_count) AS mentions, round(avg(score), 3) AS mean_score FROM scores GROUP BY 1"))
+@query(_also(_SCORES, "SELECT aspect, count(score) AS products, CAST(sum(mention_count) AS BIGINT) AS mentions, round(avg(score), 3) AS mean_score FROM scores GROUP BY 1"))
 def aspect_evidence(spark, sf_dir):
     return scores.aspect_evidence(aspect_scores(spark, sf_dir))
 
@@ -151,7 +151,7 @@ def feature_vectors_wide(spark, sf_dir):
 
 
 def _ranking_ctes(where: str = "TRUE") -> str:
-    weights = ", ".join(f"('{a}', {w}, {k})" for k, (a, w) in enumerate(ranking.normalised_weights(WEIGHTS, ASPECTS).items()))
+    weights = ", ".join(f"('{a}', CAST({w} AS DOUBLE), {k})" for k, (a, w) in enumerate(ranking.normalised_weights(WEIGHTS, ASPECTS).items()))
     return (
         _SHARED
         + f""", chosen AS (SELECT * FROM products WHERE {where}), weights(aspect, weight, ord) AS (VALUES {weights}),
@@ -160,7 +160,7 @@ def _ranking_ctes(where: str = "TRUE") -> str:
     LEFT JOIN (SELECT * FROM vectors SEMI JOIN chosen USING (product_id)) v ON v.aspect = w.aspect GROUP BY 1),
   parts AS (SELECT c.product_id, m.aspect, m.ord, m.weight, coalesce(v.score, m.mean) AS score, m.weight * coalesce(v.score, m.mean) AS contribution, coalesce(v.mention_count, 0) AS mention_count, v.score IS NULL AS imputed
     FROM chosen c CROSS JOIN fills m LEFT JOIN vectors v ON v.product_id = c.product_id AND v.aspect = m.aspect),
-  totals AS (SELECT product_id, round(sum(contribution), 4) AS final_score, round(sum(CASE WHEN imputed THEN 0 ELSE weight END), 4) AS coverage FROM parts GROUP BY 1)"""
+  totals AS (SELECT product_id, round(sum(contribution), 4) AS final_score, round(sum(CASE WHEN imputed THEN 0.0 ELSE weight END), 4) AS coverage FROM parts GROUP BY 1)"""
     )
 
 

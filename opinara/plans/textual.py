@@ -169,7 +169,7 @@ def aspect_mentions(spark, sf_dir):
 _NUMBERS = ["$1,199.00", "1.299,00 EUR", "₹1,29,900", "799", "no number", "1,50", "12.5", "1.234.567"]
 
 
-@query("SELECT * FROM (VALUES ('$1,199.00', 1199.0, 'USD'), ('1.299,00 EUR', 1299.0, 'EUR'), ('₹1,29,900', 129900.0, 'INR'), ('799', 799.0, NULL), ('no number', NULL, NULL), ('1,50', 1.5, NULL), ('12.5', 12.5, NULL), ('1.234.567', 1234567.0, NULL)) t(text, price, currency)")
+@query("SELECT text, CAST(price AS DOUBLE) AS price, currency FROM (VALUES ('$1,199.00', 1199.0, 'USD'), ('1.299,00 EUR', 1299.0, 'EUR'), ('₹1,29,900', 129900.0, 'INR'), ('799', 799.0, NULL), ('no number', NULL, NULL), ('1,50', 1.5, NULL), ('12.5', 12.5, NULL), ('1.234.567', 1234567.0, NULL)) t(text, price, currency)")
 def parse_prices(spark, sf_dir):
     rows = spark.createDataFrame([(t,) for t in _NUMBERS], "text string")
     return rows.select("text", parsing.parse_price(F.col("text")).alias("p")).select("text", "p.price", "p.currency")
@@ -196,7 +196,7 @@ def parse_counts(spark, sf_dir):
 _RATINGS = ["4.3 out of 5 stars", "4,5 von 5 Sternen", "nonsense", "4", "9.5"]
 
 
-@query("SELECT * FROM (VALUES ('4.3 out of 5 stars', 4.3), ('4,5 von 5 Sternen', 4.5), ('nonsense', NULL), ('4', 4.0), ('9.5', NULL)) t(text, rating)")
+@query("SELECT text, CAST(rating AS DOUBLE) AS rating FROM (VALUES ('4.3 out of 5 stars', 4.3), ('4,5 von 5 Sternen', 4.5), ('nonsense', NULL), ('4', 4.0), ('9.5', NULL)) t(text, rating)")
 def parse_ratings(spark, sf_dir):
     rows = spark.createDataFrame([(t,) for t in _RATINGS], "text string")
     return rows.select("text", parsing.parse_rating(F.col("text")).alias("rating"))
