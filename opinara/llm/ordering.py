@@ -16,6 +16,11 @@ from pyspark.sql import functions as F
 CELLS_PER_RANGE = 32
 
 
+def _cell(value: Column, low: int, width: int) -> Column:
+    """Integer division in decimals: ids may span all 64 bits."""
+    return F.call_function("div", value.cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)"), F.lit(width).cast("decimal(20,0)")).cast("int")
+
+
 @dataclass(frozen=True)
 class IdRanges:
     n: int
@@ -26,7 +31,7 @@ class IdRanges:
     def column(self, id_col: str | Column) -> Column:
         """The range (0 .. n-1) of a row; ascending with the id."""
         value = F.col(id_col) if isinstance(id_col, str) else id_col
-        cell = F.floor((value.cast("decimal(38,0)") - F.lit(self.low)) / F.lit(self.width)).cast("int")
+        cell = _cell(value, self.low, self.width)
         # an array that is built once per task: a long literal list would bloat the generated code
         table = F.split(F.lit(",".join(map(str, self.owner))), ",").cast("array<int>")
         return F.when(value.isNull(), F.lit(0)).otherwise(F.element_at(table, cell + 1)).cast("int")
@@ -39,7 +44,7 @@ def id_ranges(df: DataFrame, id_col: str, n: int) -> IdRanges:
         return IdRanges(n, 0, 1, (0,))
     cells = max(1, n * CELLS_PER_RANGE)
     width = -(-(high - low + 1) // cells)
-    cell = F.floor((F.col("i").cast("decimal(38,0)") - F.lit(low)) / F.lit(width)).cast("int")
+    cell = _cell(F.col("i"), low, width)
     rows = {r["c"]: r["k"] for r in ids.groupBy(cell.alias("c")).agg(F.count("*").alias("k")).collect()}  # <= cells
     used = (high - low) // width + 1
     total, seen, owner = sum(rows.values()), 0, []
