@@ -28,7 +28,7 @@ SAMPLE_CHARS = 6_000
 WINDOW_WORDS = 12
 CUT = 0.7
 #: Twice the log-likelihood ratio from which a word beginning counts as toxic (chance among a million: under 1).
-LEAST_EVIDENCE = 30.0
+LEAST_EVIDENCE = 60.0
 _ORDINARY_BYTES = 16 * 1024
 _TOXIC_BYTES = 8 * 1024
 _PREFIX = range(4, 8)
