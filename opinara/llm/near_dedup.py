@@ -221,7 +221,7 @@ def _alike(pairs: DataFrame, signatures: DataFrame, least: float) -> DataFrame:
     """The distinct pairs whose signatures agree to at least ``least`` percent, as a table."""
     sig = signatures.select("rep", "sig")
     joined = pairs.distinct().join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
-    return store.materialise(joined.select("a", "b", "sa", "sb").mapInArrow(_estimate_batches(least), "a long, b long"), "near-pairs", thin=True)
+    return store.materialise(joined.select("a", "b", "sa", "sb").mapInArrow(_estimate_batches(least), "a long, b long"), "near-pairs")
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -236,7 +236,7 @@ def _cluster_links(members: DataFrame, texts: DataFrame, words: int, threshold:
     # the first block goes to every task of its cluster, the others to their own
     dealt = placed.join(texts, "rep").withColumn("tile", F.explode(F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))))
     first = dealt.select("cluster", "tile", "rep", F.col("rep").alias("comp"), F.lit(True).alias("wanted"), "text").groupBy("cluster", "tile").applyInArrow(work, "a long, b long")
-    links = store.materialise(first, "near-links", thin=True)
+    links = store.materialise(first, "near-links")
     large = store.materialise(placed.where("blocks > 1"), "near-large", thin=True)
     if large.isEmpty():
         return links
@@ -257,7 +257,7 @@ def _cluster_links(members: DataFrame, texts: DataFrame, words: int, threshold:
     others = with_text.where(wanted).withColumn("part", part).withColumn("next", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     others = others.select("cluster", F.least("part", "next").alias("tile"), F.greatest("part", "next").alias("part"), "rep", "comp", F.lit(True).alias("wanted"), "text").withColumn("tile", -1 - F.col("tile"))
     second = rows.unionAll(outside).unionAll(others).groupBy("cluster", "tile", "part").applyInArrow(work, "a long, b long")
-    return links.unionAll(store.materialise(second, "near-links", thin=True))
+    return links.unionAll(store.materialise(second, "near-links"))
 
 
 def near_duplicates(docs: DataFrame, words: int = shingles.WORDS, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", signer=super_minhash) -> DataFrame:
@@ -303,7 +303,7 @@ def near_duplicates(docs: DataFrame, words: int = shingles.WORDS, threshold: int
         wanted = across.select(F.col("a").alias("rep")).unionAll(across.select(F.col("b").alias("rep")))
         told = store.materialise(_texts_of(texts, wanted), "near-texts")
         full = across.join(told.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a").join(told.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
-        links = links.unionAll(store.materialise(full.select("a", "b", "ta", "tb").mapInArrow(_verify_batches(words, threshold), "a long, b long"), "near-links", thin=True))
+        links = links.unionAll(store.materialise(full.select("a", "b", "ta", "tb").mapInArrow(_verify_batches(words, threshold), "a long, b long"), "near-links"))
     grouped = connected_components(links)
     of_class = classes.join(grouped.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     return (
