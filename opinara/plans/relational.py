@@ -425,3 +425,68 @@ def corpus_stats_long(spark, sf_dir):
     one = lambda name, df: df.agg(F.count("*").alias("v")).select(F.lit(name).alias("k"), "v")
     by = lambda name: m.groupBy(F.concat(F.lit(name + ":"), F.col(name)).alias("k")).agg(F.count("*").alias("v"))
     return one("reviews", r).unionAll(one("reviews_usable", corpus.usable(r))).unionAll(one("products", views.table(spark, sf_dir, "part"))).unionAll(one("mentions", m)).unionAll(by("sentiment")).unionAll(by("aspect"))
+
+
+# --- mutations, previews, wide forms -----------------------------------------------------------------------
+
+
+@query(_also(_ranking_ctes(), "SELECT product_id, " + ", ".join(f"round(max(score) FILTER (aspect = '{a}'), 4) AS {a}_score, max(weight) FILTER (aspect = '{a}') AS {a}_weight, round(max(contribution) FILTER (aspect = '{a}'), 6) AS {a}_contribution" for a in ASPECTS) + " FROM parts GROUP BY 1"))
+def ranking_wide(spark, sf_dir):
+    at = lambda a, c: F.max(F.when(F.col("aspect") == a, F.col(c)))
+    columns = [c for a in ASPECTS for c in (F.round(at(a, "score"), 4).alias(f"{a}_score"), at(a, "weight").alias(f"{a}_weight"), F.round(at(a, "contribution"), 6).alias(f"{a}_contribution"))]
+    return _parts(spark, sf_dir).groupBy("product_id").agg(*columns)
+
+
+@query(
+    """WITH o AS (SELECT p_partkey AS id, p_name AS title, p_retailprice AS price FROM part WHERE p_partkey % 3 <> 0),
+  n AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'new ' || p_name END AS title, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_retailprice + 1 END AS price FROM part WHERE p_partkey % 4 <> 1)
+  SELECT coalesce(n.id, o.id) AS id, coalesce(nullif(n.title, ''), o.title) AS title, coalesce(n.price, o.price) AS price FROM o FULL OUTER JOIN n ON o.id = n.id"""
+)
+def upsert_products(spark, sf_dir):
+    p = views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_retailprice").alias("price"))
+    fresh = p.where("id % 4 <> 1").select("id", F.when(F.col("id") % 2 == 0, "").otherwise(F.concat(F.lit("new "), "title")).alias("title"), F.when(F.col("id") % 5 != 0, F.col("price") + 1).alias("price"))
+    return corpus.upsert_products(p.where("id % 3 <> 0"), fresh, ["id"], ["title"], ["price"])
+
+
+@query(
+    with_views(
+        """SELECT product_id, content_hash, arrival FROM (SELECT *, row_number() OVER (PARTITION BY product_id, content_hash ORDER BY arrival) AS r FROM (SELECT product_id, CAST(review_id % 7 AS VARCHAR) AS content_hash, review_id AS arrival FROM reviews WHERE rating < 5)) i
+  WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM reviews s WHERE s.rating = 5 AND s.product_id = i.product_id AND CAST(s.review_id % 7 AS VARCHAR) = i.content_hash)"""
+    )
+)
+def new_reviews(spark, sf_dir):
+    rows = views.reviews(spark, sf_dir).select("product_id", (F.col("review_id") % 7).cast("string").alias("content_hash"), F.col("review_id").alias("arrival"), "rating")
+    return corpus.new_reviews(rows.where("rating < 5"), rows.where("rating = 5")).select("product_id", "content_hash", "arrival")
+
+
+@query(with_views("SELECT review_id, product_id FROM reviews WHERE product_id NOT IN (SELECT p_partkey FROM part WHERE p_size < 10)"))
+def cascade_delete(spark, sf_dir):
+    gone = views.table(spark, sf_dir, "part").where("p_size < 10").select(F.col("p_partkey").alias("product_id"))
+    return corpus.cascade_delete(views.reviews(spark, sf_dir).select("review_id", "product_id"), gone)
+
+
+@query(with_views("SELECT product_id, name, brand FROM products WHERE brand = 'Brand#12' AND regexp_matches(lower(name), 'a|e') AND review_count >= 3 AND coalesce(site_rating, 0) >= 2.0"))
+def filter_candidates(spark, sf_dir):
+    from opinara.functions import products
+
+    rows = views.products(spark, sf_dir).withColumnsRenamed({"name": "product_name", "review_count": "rating_number", "site_rating": "average_rating"})
+    return products.filter_candidates(rows, "Brand#12", "A|E", 3, 2.0).select("product_id", F.col("product_name").alias("name"), "brand")
+
+
+@query(with_views("(SELECT review_id, 'kept' AS state FROM reviews WHERE excluded_reason IS NULL AND NOT is_spam AND NOT is_duplicate ORDER BY review_id LIMIT 20) UNION ALL (SELECT review_id, 'dropped' FROM reviews WHERE excluded_reason IS NOT NULL OR is_spam OR is_duplicate ORDER BY review_id LIMIT 20)"))
+def decision_preview(spark, sf_dir):
+    rows = views.reviews(spark, sf_dir).withColumn("keep", corpus.decision() == "kept")
+    part = lambda keep, state: rows.where(F.col("keep") == keep).orderBy("review_id").limit(20).select("review_id", F.lit(state).alias("state"))
+    return part(True, "kept").unionAll(part(False, "dropped"))
+
+
+@query(with_views("SELECT count(*) AS total FROM reviews WHERE excluded_reason IS NULL AND NOT is_spam AND product_id IN (1, 2, 3, 5, 8)"))
+def page_total(spark, sf_dir):
+    return corpus.by_ids(corpus.usable(views.reviews(spark, sf_dir)), "product_id", [1, 2, 3, 5, 8]).agg(F.count("*").alias("total"))
+
+
+@query(with_views("SELECT r.rating, p.brand, count(*) AS n FROM mentions m JOIN reviews r ON r.review_id = m.review_id JOIN products p ON p.product_id = m.product_id WHERE r.processed_at IS NOT NULL GROUP BY 1, 2"))
+def mentions_by_brand_and_rating(spark, sf_dir):
+    seen = corpus.analysed(views.reviews(spark, sf_dir)).select("review_id", "rating")
+    brands = views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_brand").alias("brand"))
+    return views.mentions(spark, sf_dir).join(seen, "review_id").join(brands, "product_id").groupBy("rating", "brand").agg(F.count("*").alias("n"))

@@ -225,3 +225,51 @@ def product_filter_funnel(spark, sf_dir):
 def html_title_h1(spark, sf_dir):
     p = views.table(spark, sf_dir, "pages")
     return p.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("heading"))
+
+
+TITLES = [
+    ("SAMSUNG Galaxy S24 Ultra Cell Phone, 256GB Unlocked", "Visit the SAMSUNG Store", "AT&T Prepaid"),
+    ("iPhone 15 Pro Max, 512GB", None, "Tmobile"),
+    ("Moto G Power (2024)", None, "moto"),
+    ("Unknown Thing", None, "Acme"),
+    ("Google Pixel 8 - Obsidian", "Brand: Google", None),
+]
+
+
+@query("SELECT * FROM (VALUES ('SAMSUNG Galaxy S24 Ultra Cell Phone, 256GB Unlocked', 'Samsung', 'Samsung'), ('iPhone 15 Pro Max, 512GB', 'Apple', 'Apple'), ('Moto G Power (2024)', 'Motorola', 'Motorola'), ('Unknown Thing', NULL, 'Acme'), ('Google Pixel 8 - Obsidian', 'Google', 'Google')) t(title, brand, resolved)")
+def parse_brands(spark, sf_dir):
+    rows = spark.createDataFrame(TITLES, "title string, byline string, raw string")
+    return rows.select("title", parsing.extract_brand(F.col("title"), F.col("byline")).alias("brand"), parsing.resolve_brand(F.col("raw"), F.col("title")).alias("resolved"))
+
+
+@query("SELECT title, CAST(ram AS DOUBLE) AS ram, CAST(storage AS DOUBLE) AS storage, CAST(inches AS DOUBLE) AS inches, battery, hz FROM (VALUES ('Phone 12GB RAM 256GB', 12, 256, NULL, NULL, NULL), ('Phone 1 TB, 6.8-inch, 5000mAh, 120Hz', NULL, 1024, 6.8, 5000, 120), ('Plain', NULL, NULL, NULL, NULL, NULL)) t(title, ram, storage, inches, battery, hz)")
+def parse_specs(spark, sf_dir):
+    titles = ["Phone 12GB RAM 256GB", "Phone 1 TB, 6.8-inch, 5000mAh, 120Hz", "Plain"]
+    rows = spark.createDataFrame([(t,) for t in titles], "title string")
+    made = parsing.normalize_specs(F.lit(None).cast("map<string,string>"), F.col("title"), F.lit(None).cast("array<string>"))
+    return rows.select("title", made.alias("s")).select("title", F.col("s.ram_gb").alias("ram"), F.col("s.storage_gb").alias("storage"), F.col("s.display_inches").alias("inches"), F.col("s.battery_mah").alias("battery"), F.col("s.refresh_rate_hz").alias("hz"))
+
+
+@query("SELECT * FROM (VALUES ('accepted', 4), ('accessory', 1), ('no_brand', 2), ('no_phone_word', 2)) t(gate, n)")
+def simple_filter_funnel(spark, sf_dir):
+    titles = [t for t, _ in LISTINGS if t] + ["Samsung thing"]
+    rows = spark.createDataFrame([(t,) for t in titles], "title string")
+    return products.funnel(rows, products.simple_gate(F.col("title"), ["Samsung", "Google", "Galaxy", "Hose", "Apple"])).select("gate", "n")
+
+
+@query()
+def gold_sample(spark, sf_dir):
+    from opinara.operators import pipeline
+
+    rows = _sentences(spark, sf_dir).withColumn("sentence_id", F.col("review_id") * 1000 + F.col("position"))
+    return pipeline.gold_sample(annotating.mention_rows(rows)).select("sentence_id", "aspect", "sentiment")
+
+
+@query()
+def walkthrough(spark, sf_dir):
+    from opinara.operators import pipeline
+
+    rows = _sentences(spark, sf_dir)
+    mentions = annotating.mention_rows(rows)
+    told = pipeline.walkthrough(review_texts(spark, sf_dir).select("review_id", "product_id"), rows, mentions, scores.aspect_scores(mentions))
+    return told.select("review_id", "product_id", "labels", F.size("sentences").alias("sentences"), F.size("opinions").alias("opinions"))
