@@ -13,9 +13,10 @@ The path over documents is DataFrame operations only.
 from __future__ import annotations
 
 import heapq
+import json
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opinara.llm import store
@@ -72,6 +73,14 @@ def _key(source_col: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
 
 
+def _literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows of the plan as a table made by DataFrame functions."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    kind = "array<struct<" + ", ".join(c.replace(" ", ": ") for c in schema.split(", ")) + ">>"
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), kind)))
+
+
 def with_slots(docs: DataFrame, weights: Mapping[str | None, float] | None = None, slots: int = SLOTS, block_docs: int = BLOCK_DOCS, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """``docs`` (all columns) with ``_block``, ``_slot``, ``_release``, ``_deadline`` and ``_position`` (longs).
 
@@ -92,8 +101,8 @@ def with_slots(docs: DataFrame, weights: Mapping[str | None, float] | None = Non
     shares = whole_slots(target, slots) if target else {}
     period = sum(shares.values())
     plan = [(s, k, t, shares[s], release(k, shares[s], period), deadline(k, shares[s], period)) for t, (s, k) in enumerate(schedule(shares))]
-    table = spark.createDataFrame(plan, "_s string, _k long, _t long, _p long, _r long, _d long")
-    share = spark.createDataFrame(list(shares.items()), "_s2 string, _p2 long")
+    table = _literal(spark, plan, "_s string, _k long, _t long, _p long, _r long, _d long")
+    share = _literal(spark, list(shares.items()), "_s2 string, _p2 long")
 
     # rank within a source: places inside (source, id range), plus the source's rows of lower ranges
     n = store.partitions(spark)
