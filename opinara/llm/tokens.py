@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Entries of each cache of one Python worker; at the bound the cache is emptied.
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 500_000
 _MARKS = ",.;:!?"
 _PROBES = ("Berlin", "straße", "élan", "Über", "don", "s", "ÀÿÖ", "unzerschlagbar")
 
@@ -46,6 +46,7 @@ class ChunkIds(dict):
         self.direct = False
         self.words = self._word_path_is_exact()
         self.direct = self.words and self._model_path_is_exact()
+        self.marks = {m: self._full(m) for m in _MARKS}
 
     def _full(self, chunk: str) -> bytes:
         ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
@@ -69,24 +70,27 @@ class ChunkIds(dict):
         except Exception:  # a model without a tokenize call, or other letters: the full path serves
             return False
 
-    def _stem(self, word: str) -> bytes:
-        got = self.stems.get(word)
-        if got is None:
-            if len(self.stems) >= self.limit:
-                self.stems.clear()
-            got = self.stems[word] = self._model(word) if self.direct else self._full(word)
-        return got
-
     def __missing__(self, chunk: str) -> bytes:
+        tail = ""
+        if self.words and chunk and (chunk.isascii() or max(chunk) <= "ÿ"):
+            word = chunk
+            if not chunk.isalpha() and chunk[-1] in _MARKS:
+                word, tail = chunk[:-1], chunk[-1]
+            if word.isalpha():
+                word = word.lower()
+                got = self.stems.get(word)
+                if got is None:  # most words that are seen once are never seen again: no chunk is kept for them
+                    if len(self.stems) >= self.limit:
+                        self.stems.clear()
+                    got = self.stems[word] = self._model(word) if self.direct else self._full(word)
+                    return got + self.marks[tail] if tail else got
+                return self._keep(chunk, got + self.marks[tail] if tail else got)
+        return self._keep(chunk, self._full(chunk))
+
+    def _keep(self, chunk: str, got: bytes) -> bytes:
         if len(self) >= self.limit:
             self.clear()
-        got = None
-        if self.words and chunk and (chunk.isascii() or max(chunk) <= "ÿ"):
-            if chunk.isalpha():
-                got = self._stem(chunk.lower())
-            elif chunk[-1] in _MARKS and chunk[:-1].isalpha():
-                got = self._stem(chunk[:-1].lower()) + self._stem(chunk[-1])
-        self[chunk] = got = self._full(chunk) if got is None else got
+        self[chunk] = got
         return got
 
     def ids(self, text: str | None) -> np.ndarray:
