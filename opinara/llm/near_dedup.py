@@ -56,8 +56,9 @@ def super_minhash(flat: np.ndarray, counts: np.ndarray, slots: int = SLOTS) -> n
     table = out.reshape(-1)
     owner = np.repeat(np.arange(docs), counts)
     x = flat
-    places = np.empty((len(flat), slots), dtype=np.uint16)
-    places[:] = np.arange(slots, dtype=np.uint16)
+    kind = np.uint8 if slots <= 256 else np.uint16
+    places = np.empty((len(flat), slots), dtype=kind)
+    places[:] = np.arange(slots, dtype=kind)
     for j in range(slots):
         draw = shingles.mix(x + _U((j + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)))
         k = j + ((draw >> _U(40)) % _U(slots - j)).astype(np.int64)
@@ -201,6 +202,8 @@ def _link_tile(words: int, threshold: int):
         ids, groups = table.column("rep").to_numpy(), table.column("comp").to_numpy()
         wanted = table.column("wanted").to_numpy(zero_copy_only=False).astype(bool)
         a, b = link_block(ids, _sets_of(table.column("text"), words), groups, threshold, None if wanted.all() else wanted)
+        if table.num_rows >= 64:
+            store.trim()
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
     return run
@@ -270,7 +273,7 @@ def near_duplicates(docs: DataFrame, words: int = shingles.WORDS, threshold: int
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>"
-    sets = store.materialise(source.mapInArrow(_set_key_batches(words, signer), schema), "near-sets")
+    sets = store.materialise(source.mapInArrow(store.trimmed(_set_key_batches(words, signer)), schema), "near-sets")
     known = sets.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     classes = store.materialise(classes, "near-classes")

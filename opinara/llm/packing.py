@@ -209,7 +209,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     n = store.partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ranges = id_ranges(rows, "doc_id", n)
-    pieces = rows.select("doc_id", "text", ranges.column("doc_id").alias("own")).mapInArrow(_piece_batches(tokenizer or default_tokenizer(), capacity, end_id), _PIECES)
+    pieces = rows.select("doc_id", "text", ranges.column("doc_id").alias("own")).mapInArrow(store.trimmed(_piece_batches(tokenizer or default_tokenizer(), capacity, end_id)), _PIECES)
     pieces = store.materialise(pieces, "pieces")
     # the histogram has at most ``capacity`` rows whatever the corpus
     histogram = {r["length"]: r["c"] for r in pieces.groupBy("length").agg(F.count("*").alias("c")).collect()}

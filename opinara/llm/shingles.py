@@ -14,7 +14,7 @@ import numpy as np
 
 WORDS = 5
 #: Bytes of text that are hashed at once (a longer document is hashed alone, whole).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1

@@ -79,5 +79,28 @@ def fetch(uri: str) -> bytes:
         return source.read()
 
 
+def trim() -> None:
+    """Give freed memory of a Python worker back: workers are reused, and the next task's peak would add to it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def trimmed(run):
+    """A batch function that trims when its partition ends."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        trim()
+
+    return wrapped
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

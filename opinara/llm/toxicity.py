@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opinara.llm import store
+
 #: At most so many labelled rows of each class are sampled for training, by hash of the id.
 SAMPLE_TOXIC, SAMPLE_ORDINARY = 1500, 3000
 #: At most so many characters of one sampled text are used (training only; scoring reads whole texts).
@@ -242,7 +244,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     (not held out); an empty table gives an empty result; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scored = rows.mapInArrow(score_batches(pickle.dumps(model)), "doc_id long, score double")
+    scored = rows.mapInArrow(store.trimmed(score_batches(pickle.dumps(model))), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
@@ -264,4 +266,4 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> Data
                 keep = model.scores(part.column(width).to_pylist(), compressors) < CUT
                 yield part.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(store.trimmed(run), docs.schema)
