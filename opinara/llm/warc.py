@@ -203,6 +203,7 @@ _READ = "page_id long, payload_bytes long, payload_digest string, record_type st
 
 def read_warc(index: DataFrame) -> DataFrame:
     """All records of an index's bundles, read frame by frame; payloads are checked against their digests."""
-    bundles = index.select("bundle").distinct()
-    dealt = bundles.repartition(store.partitions(index.sparkSession), "bundle")
+    n = store.partitions(index.sparkSession)
+    # by partition id: a few names are little data, but each stands for a bundle to decode
+    dealt = index.select("bundle").distinct().repartitionById(n, F.pmod(F.xxhash64("bundle"), F.lit(n)).cast("int"))
     return dealt.mapInArrow(_read_batches, _READ)
