@@ -1,8 +1,9 @@
 """Toxicity (operator 10): compression distance between two zstandard dictionaries.
 
 From a bounded, documented sample of labelled rows two dictionaries are trained: the *ordinary* one by zstd's
-trainer on windows of ordinary documents, the *toxic* one from the word beginnings that toxic documents of
-the sample contrast with ordinary ones, followed by the ordinary dictionary's content.  A window (a few
+trainer on windows of ordinary documents, the *toxic* one from the word beginnings that occur far more often
+in toxic documents of the sample than in ordinary ones of their language (see ``contrast``), followed by the
+ordinary dictionary's content without them.  Beginnings of words are marked (see ``marked``).  A window (a few
 words) is compressed once with each; because the shared content sits at the same distance from the window in
 both, a window only gets shorter under the toxic dictionary where it repeats toxic material.  A document's
 windows cover its whole text; the score is a logistic calibration, fitted on the sample, of its gains.
@@ -10,8 +11,10 @@ windows cover its whole text; the score is a logistic calibration, fitted on the
 
 from __future__ import annotations
 
+import os
 import pickle
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,12 +31,15 @@ SAMPLE_TOXIC, SAMPLE_ORDINARY = 1500, 3000
 #: At most so many characters of one sampled text are used (training only; scoring reads whole texts).
 SAMPLE_CHARS = 6_000
 WINDOW_WORDS = 12
+#: Letters at the beginning of a word that are told apart from the same letters inside a word.
+MARKED = 4
 CUT = 0.7
 #: Twice the log-likelihood ratio from which a word beginning counts as toxic (chance among a million: under 1).
 LEAST_EVIDENCE = 60.0
 _ORDINARY_BYTES = 16 * 1024
 _TOXIC_BYTES = 8 * 1024
-_PREFIX = range(4, 8)
+#: Bytes of the shortest word beginning.
+LEAST_PIECE = 4
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 0x20
@@ -61,6 +67,14 @@ def windows(texts: list[str | None], words: int = WINDOW_WORDS) -> tuple[bytes,
     return data.tobytes(), np.stack([starts, ends - starts], axis=1).astype("<u8"), owner
 
 
+def marked(data: bytes) -> bytes:
+    """Folded bytes with the first letters of each word in capitals: the inside of a word matches no beginning."""
+    out = np.frombuffer(data, dtype=np.uint8)
+    at = np.arange(len(out))
+    since = at - np.maximum.accumulate(np.where(out == 0x20, at, -1)) if len(out) else at
+    return np.where((since >= 1) & (since <= MARKED) & (out >= 0x61) & (out <= 0x7A), out - 0x20, out).astype(np.uint8).tobytes()
+
+
 @dataclass
 class Model:
     ordinary: bytes
@@ -89,7 +103,7 @@ class Model:
         data, segments, owner = windows(texts, self.words)
         if not len(segments):
             return np.empty(0), owner
-        held = zstd.BufferWithSegments(data, segments.tobytes())
+        held = zstd.BufferWithSegments(marked(data), segments.tobytes())
         plain, toxic = (np.fromiter(map(len, c.multi_compress_to_buffer(held, threads=1)), dtype=np.int64, count=len(segments)) for c in compressors or self.compressors())
         return (plain - toxic).astype(np.float64), owner
 
@@ -131,75 +145,130 @@ def _words(text: str) -> list[bytes]:
     return _FOLD[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)].tobytes().split() if text else []
 
 
-def _beginnings(text: str) -> set[bytes]:
-    """Word beginnings (with the blank before them) of a folded text."""
-    return {b" " + w[:k] for w in set(_words(text)) for k in _PREFIX if k <= len(w)}
-
-
-def contrast(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """Word beginnings that toxic texts hold far more often than ordinary ones, best first."""
-    here, there = Counter(), Counter()
-    for t in toxic:
-        here.update(_beginnings(t))
-    here = Counter({p: n for p, n in here.items() if n >= 3})
-    for t in ordinary:
-        there.update(_beginnings(t) & here.keys())
-    # copies repeat a rare word with its surroundings: a piece counts once for each word that stands before it
-    near: dict[bytes, set] = {p: set() for p in here if there[p] * 10 * len(toxic) <= here[p] * (len(ordinary) + 1)}
-    for t in toxic:
-        before = b""
-        for word in _words(t):
-            for k in _PREFIX:
-                if (at := near.get(b" " + word[:k])) is not None and k <= len(word):
-                    at.add(before)
-            before = word
-    rows = []
-    for piece, n in ((p, min(here[p], len(at))) for p, at in near.items()):
-        if n < 3:
-            continue
-        expected = len(toxic) * (there[piece] + 1) / (len(ordinary) + 1)
-        evidence = 2 * (n * np.log(n / expected) - (n - expected))
-        if n >= 10 * expected and evidence >= LEAST_EVIDENCE:
-            rows.append((evidence, len(piece), piece, n))
-    rows.sort(key=lambda r: (-r[0], -r[1], r[2]))
+def _pieces(texts: list[str]) -> set[bytes]:
+    """Beginnings (four bytes at least, of any length) at which words of the texts part, and whole words.
+
+    Any other beginning is continued in one way only, so its longest continuation stands for it: there are at
+    most two pieces a distinct word, however long words are.
+    """
+    vocabulary = sorted({w for t in texts for w in set(_words(t))})
+    out = {w for w in vocabulary if len(w) >= LEAST_PIECE}
+    for one, other in zip(vocabulary, vocabulary[1:], strict=False):
+        k = len(os.path.commonprefix((one, other)))
+        if k >= LEAST_PIECE:
+            out.add(one[:k])
+    return out
+
+
+class _Beginnings:
+    """The pieces that begin a word, remembered by word."""
+
+    def __init__(self, pieces: set[bytes]):
+        self.pieces, self.lengths, self.held = pieces, sorted({len(p) for p in pieces}), {}
+
+    def of(self, word: bytes) -> tuple[bytes, ...]:
+        if (got := self.held.get(word)) is None:
+            got = self.held[word] = tuple(word[:k] for k in self.lengths[: bisect_right(self.lengths, len(word))] if word[:k] in self.pieces)
+        return got
+
+    def texts(self, texts: list[str]) -> Counter:
+        """In how many texts each piece begins a word."""
+        out: Counter = Counter()
+        for t in texts:
+            out.update({p for w in set(_words(t)) for p in self.of(w)})
+        return out
+
+    def places(self, texts: list[str]) -> tuple[Counter, int]:
+        """How often each piece begins a word, and how many words there are.
+
+        A word counts once for each word that stands before it: copies repeat a word with its surroundings.
+        """
+        out: Counter = Counter()
+        pairs = set()
+        for t in texts:
+            words = _words(t)
+            pairs.update(zip([b"", *words], words, strict=False))
+        for _, word in pairs:
+            out.update(self.of(word))
+        return out, len(pairs)
+
+
+def contrast(toxic: list[str], ordinary: list[str], toxic_langs: list | None = None, ordinary_langs: list | None = None) -> list[bytes]:
+    """Word beginnings that occur far more often in toxic texts than in ordinary ones of their language, best first.
+
+    A piece is judged inside each language, by its occurrences: at least three toxic texts hold it, it occurs ten
+    times as often a word as in ordinary texts, and with LEAST_EVIDENCE.  Windows know no language, so over all
+    languages together it must also occur ten times as often as expected.
+    """
+    toxic_langs, ordinary_langs = toxic_langs or [None] * len(toxic), ordinary_langs or [None] * len(ordinary)
+    langs = sorted(set(toxic_langs), key=str)
+    bad = {g: [t for t, x in zip(toxic, toxic_langs, strict=True) if x == g] for g in langs}
+    fine = {g: [t for t, x in zip(ordinary, ordinary_langs, strict=True) if x == g] for g in langs}
+    finder = _Beginnings(_pieces(toxic))
+    held = {g: {p for p, n in finder.texts(bad[g]).items() if n >= 3} for g in langs}
+    finder = _Beginnings(set().union(*held.values()))
+    here, there = ({g: finder.places(side[g]) for g in langs} for side in (bad, fine))
+    share = {g: here[g][1] / (there[g][1] + 1) for g in langs}
+    best: dict[bytes, tuple] = {}
+    for g in langs:
+        for p in held[g]:
+            n, expected = here[g][0][p], share[g] * (there[g][0][p] + 1)
+            overall = share[g] + sum(share[x] * there[x][0][p] for x in langs)
+            if n < max(3, 10 * expected) or sum(here[x][0][p] for x in langs) < 10 * overall:
+                continue
+            evidence = 2 * (n * np.log(n / expected) - (n - expected))
+            if evidence >= LEAST_EVIDENCE:
+                best[p] = max(best.get(p, (0.0, 0)), (evidence, n))
+    rows = sorted(((evidence, len(p), b" " + p, n) for p, (evidence, n) in best.items()), key=lambda r: (-r[0], -r[1], r[2]))
     chosen: dict[bytes, int] = {}
     size = 0
     for _, _, piece, n in rows:
-        if size + len(piece) > _TOXIC_BYTES:
-            break
-        if not any(piece in c or piece.startswith(c) for c in chosen):
+        if any(piece in c or piece.startswith(c) for c in chosen):
+            continue
+        if size + len(piece) <= _TOXIC_BYTES:
             chosen[piece] = n
             size += len(piece)
     return list(chosen)
 
 
-def train(texts: list[str], toxic: list[int]) -> Model:
-    """Dictionaries and calibration from labelled texts; without both classes a model that scores 0."""
+def train(texts: list[str], toxic: list[int], langs: list | None = None) -> Model:
+    """Dictionaries and calibration from labelled texts (and their languages, where known).
+
+    Without both classes a model that scores 0.
+    """
     import zstandard as zstd
 
     texts = [(t or "")[:SAMPLE_CHARS] for t in texts]
+    langs = langs or [None] * len(texts)
     bad, fine = [t for t, y in zip(texts, toxic, strict=True) if y], [t for t, y in zip(texts, toxic, strict=True) if not y]
+    bad_in, fine_in = [g for g, y in zip(langs, toxic, strict=True) if y], [g for g, y in zip(langs, toxic, strict=True) if not y]
     if not bad or not fine:
         return Model(b" " * 8, b" " * 8, (-30.0, 0.0, 0.0, 0.0))
     data, segments, _ = windows(fine)
+    data = marked(data)
     samples = [data[a : a + n] for a, n in segments.tolist()][:: max(1, len(segments) // 20_000)]
     try:
         ordinary = zstd.train_dictionary(_ORDINARY_BYTES, samples).as_bytes()
     except zstd.ZstdError:  # too little text for the trainer: the text itself
         ordinary = data[-_ORDINARY_BYTES:]
 
-    def with_pieces(pieces: list[bytes]) -> bytes:
-        return b"".join(reversed(pieces)) + b" " * 8 + ordinary
+    def built(bad: list[str], fine: list[str], bad_in: list, fine_in: list) -> tuple[bytes, bytes]:
+        pieces = [marked(p) for p in contrast(bad, fine, bad_in, fine_in)]
+        shared = ordinary
+        for piece in pieces:  # what is toxic is not ordinary, wherever the trainer found it
+            shared = shared.replace(piece, b" " * len(piece))
+        return shared, b"".join(reversed(pieces)) + b" " * 8 + shared
 
     # calibrated on halves that did not choose the dictionary, then the dictionary is rebuilt from both
     rows, marks = [], []
     for half in (0, 1):
-        part = Model(ordinary, with_pieces(contrast(bad[half::2] or bad, fine[half::2] or fine)), (0.0,) * 4)
+        chosen = (bad[half::2] or bad, fine[half::2] or fine, bad_in[half::2] or bad_in, fine_in[half::2] or fine_in)
+        part = Model(*built(*chosen), (0.0,) * 4)
         held = [*(bad[1 - half :: 2] or bad), *(fine[1 - half :: 2] or fine)]
         rows.append(features(*part.gains(held), len(held)))
         marks.append(np.array([1.0] * len(bad[1 - half :: 2] or bad) + [0.0] * len(fine[1 - half :: 2] or fine)))
     weights = _fit_logistic(np.concatenate(rows), np.concatenate(marks))
-    return Model(ordinary, with_pieces(contrast(bad, fine)), tuple(weights.tolist()))
+    return Model(*built(bad, fine, bad_in, fine_in), tuple(weights.tolist()))
 
 
 def held_out(doc_id) -> F.Column:
@@ -207,11 +276,12 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def train_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str = "lang") -> Model:
     """Train on at most SAMPLE_TOXIC + SAMPLE_ORDINARY labelled rows outside the held-out third.
 
     The sample is the rows of smallest hash of their id in each class: bounded, deterministic, spread over all
-    rows.  A document with several labels counts as toxic if one says so; null labels are ignored.
+    rows.  A document with several labels counts as toxic if one says so; null labels are ignored.  Where ``docs``
+    has no language column all texts count as one language.
     """
     marks = labels.select(F.col(id_col).cast("long").alias("i"), F.col(label_col).cast("int").alias("y")).where("i IS NOT NULL AND y IS NOT NULL")
     marks = marks.where(~held_out(F.col("i"))).groupBy("i").agg(F.max("y").alias("y"))
@@ -220,9 +290,10 @@ def train_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     if not mark:
         return train([], [])
     want = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in mark], "i long"))  # <= SAMPLE rows
-    texts = docs.select(F.col(id_col).cast("long").alias("i"), F.substring(F.col(text_col).cast("string"), 1, SAMPLE_CHARS).alias("t")).join(want, "i", "left_semi")
-    rows = sorted({(r["i"], r["t"] or "") for r in texts.collect()})
-    return train([t for _, t in rows], [mark[i] for i, _ in rows])
+    lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
+    texts = docs.select(F.col(id_col).cast("long").alias("i"), F.substring(F.col(text_col).cast("string"), 1, SAMPLE_CHARS).alias("t"), lang.alias("g")).join(want, "i", "left_semi")
+    rows = sorted({(r["i"], r["t"] or "", r["g"] or "") for r in texts.collect()})
+    return train([t for _, t, _ in rows], [mark[i] for i, _, _ in rows], [g for _, _, g in rows])
 
 
 def score_batches(packed: bytes):

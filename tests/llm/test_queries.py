@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import zlib
 
@@ -340,3 +341,14 @@ def test_queries_are_registered(spark, sf_dir):
         assert sum(name.startswith(f"op{n}_") for name in found) == 1
     assert "pipeline" in found
     assert found["op3_mixing"](spark, sf_dir).agg(F.count("*")).first()[0] == docs_of(spark, sf_dir).count()
+
+
+def test_toxicity_is_learnt_in_each_language(spark):
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    docs, labels = docs_of(spark, folder), spark.read.parquet(f"{folder}/labels.parquet")
+    scored = toxicity.score(docs, toxicity.train_from(docs, labels)).where("held_out").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    found = {(r.lang, r.toxic): r.share for r in scored.groupBy("lang", "toxic").agg(F.avg("predicted").alias("share")).collect()}
+    assert {g for g, _ in found} == {"de", "en", "es", "fr"}
+    assert all(share >= 0.75 if toxic else share <= 0.2 for (_, toxic), share in found.items()), found
