@@ -26,13 +26,13 @@ from pyspark.sql import functions as F
 
 from opinara.llm import store
 
-#: At most so many labelled rows of each class are sampled for training, by hash of the id.
+#: At most so many labelled rows of each class are sampled for training, by hash of the id; their texts are read whole.
 SAMPLE_TOXIC, SAMPLE_ORDINARY = 1500, 3000
-#: At most so many characters of one sampled text are used (training only; scoring reads whole texts).
-SAMPLE_CHARS = 6_000
 WINDOW_WORDS = 12
+#: About so many windows train the ordinary dictionary.
+MOST_WINDOWS = 20_000
 #: Letters at the beginning of a word that are told apart from the same letters inside a word.
-MARKED = 4
+MARKED = 5
 CUT = 0.7
 #: Twice the log-likelihood ratio from which a word beginning counts as toxic (chance among a million: under 1).
 LEAST_EVIDENCE = 60.0
@@ -238,15 +238,19 @@ def train(texts: list[str], toxic: list[int], langs: list | None = None) -> Mode
     """
     import zstandard as zstd
 
-    texts = [(t or "")[:SAMPLE_CHARS] for t in texts]
+    texts = [t or "" for t in texts]
     langs = langs or [None] * len(texts)
     bad, fine = [t for t, y in zip(texts, toxic, strict=True) if y], [t for t, y in zip(texts, toxic, strict=True) if not y]
     bad_in, fine_in = [g for g, y in zip(langs, toxic, strict=True) if y], [g for g, y in zip(langs, toxic, strict=True) if not y]
     if not bad or not fine:
         return Model(b" " * 8, b" " * 8, (-30.0, 0.0, 0.0, 0.0))
-    data, segments, _ = windows(fine)
+    data, segments, owner = windows(fine)
     data = marked(data)
-    samples = [data[a : a + n] for a, n in segments.tolist()][:: max(1, len(segments) // 20_000)]
+    # windows spread evenly over each whole text, no more of one text than of another: long texts do not rule
+    count = np.bincount(owner, minlength=len(fine))
+    spread = np.maximum(1, -(-count * len(fine) // MOST_WINDOWS))
+    place = np.arange(len(owner)) - (np.cumsum(count) - count)[owner]
+    samples = [data[a : a + n] for a, n in segments[place % spread[owner] == 0].tolist()]
     try:
         ordinary = zstd.train_dictionary(_ORDINARY_BYTES, samples).as_bytes()
     except zstd.ZstdError:  # too little text for the trainer: the text itself
@@ -291,7 +295,7 @@ def train_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         return train([], [])
     want = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in mark], "i long"))  # <= SAMPLE rows
     lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
-    texts = docs.select(F.col(id_col).cast("long").alias("i"), F.substring(F.col(text_col).cast("string"), 1, SAMPLE_CHARS).alias("t"), lang.alias("g")).join(want, "i", "left_semi")
+    texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"), lang.alias("g")).join(want, "i", "left_semi")
     rows = sorted({(r["i"], r["t"] or "", r["g"] or "") for r in texts.collect()})
     return train([t for _, t, _ in rows], [mark[i] for i, _, _ in rows], [g for _, _, g in rows])
 

@@ -352,3 +352,13 @@ def test_toxicity_is_learnt_in_each_language(spark):
     found = {(r.lang, r.toxic): r.share for r in scored.groupBy("lang", "toxic").agg(F.avg("predicted").alias("share")).collect()}
     assert {g for g, _ in found} == {"de", "en", "es", "fr"}
     assert all(share >= 0.75 if toxic else share <= 0.2 for (_, toxic), share in found.items()), found
+
+def test_toxic_matter_behind_long_clean_text_is_learnt(spark):
+    plain = lambda k: " ".join(f"plain{(k * 7 + j * 13) % 97} word{(k + j) % 89}" for j in range(800))
+    foul = lambda k: " ".join(f"plain{(k + j) % 97} grumblebum{j % 5} word{j % 83}" for j in range(40))
+    rows = [(k, f"{plain(k)} {foul(k)}" if k % 3 == 0 else plain(k)) for k in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(240)], "doc_id long, toxic int")
+    assert min(len(t) for _, t in rows) > 6000
+    marks = {r.doc_id: r.predicted for r in toxicity.score(docs, toxicity.train_from(docs, labels)).collect()}
+    assert all(marks[k] == (k % 3 == 0) for k in range(240))
