@@ -7,9 +7,14 @@ the last returns the packed pieces.  Stages work on their whole input.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from opinara.llm import mixing, near_dedup, packing, store, toxicity
 
+#: Target weights of the sources (None: by their row counts), and the column of a document's place in the mixture.
+WEIGHTS = None
+TURN = "_turn"
+
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression-distance classifier does not predict toxic."""
@@ -24,18 +29,23 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the mixture."""
-    return mixing.mixed(docs)
+    return place_in_mixture(spark, docs, sf_dir).orderBy(TURN).drop(TURN)
+
+
+def place_in_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their place in the mixture: the order of rows does not outlive a table."""
+    return mixing.with_slots(docs, WEIGHTS).select(*docs.columns, F.col("_position").alias(TURN))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequence and offset."""
-    return packing.pack(docs)
+    """Token pieces with their sequence and offset, in the order of the mixture where documents have a place."""
+    return packing.pack(docs, turn_col=TURN if TURN in docs.columns else None)
 
 
 STAGES = [
     ("toxicity", reject_toxic),
     ("near_dedup", drop_near_duplicates),
-    ("mixing", mix_sources),
+    ("mixing", place_in_mixture),
     ("packing", pack_sequences),
 ]
 

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opinara.llm import store
@@ -159,28 +159,29 @@ def _piece_batches(path: str, capacity: int, end_id: int):
             out: list[tuple] = []
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                for doc, text, own in zip(*(part.column(c).to_pylist() for c in range(3)), strict=True):
+                for doc, text, own, turn in zip(*(part.column(c).to_pylist() for c in range(4)), strict=True):
                     ids = np.concatenate([enc.ids(text).astype("<u4"), end])
                     for piece, start in enumerate(range(0, len(ids), capacity)):
                         cut = ids[start : start + capacity]
-                        out.append((doc, piece, start, len(cut), zlib.crc32(cut.tobytes()), own))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-            columns = list(zip(*out, strict=True)) or [()] * 6
+                        out.append((doc, piece, start, len(cut), zlib.crc32(cut.tobytes()), own, turn))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            columns = list(zip(*out, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=_PIECE_NAMES)
 
     return run
 
 
-_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, own int"
+_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, own int, turn long"
 _PIECE_NAMES = [c.split()[0] for c in _PIECES.split(", ")]
 _PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+_PLACED = f"{_PACKED}, turn long"
 
 
 def _place_batches(table: dict[int, list[tuple]], capacity: int, full_base: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = {x: np.array([s[0] for s in rows]) for x, rows in table.items()}
         for batch in batches:
-            length, rank = batch.column(3).to_numpy(), batch.column(5).to_numpy()
+            length, rank = batch.column(3).to_numpy(), batch.column(6).to_numpy()
             sequence, offset = np.empty(len(length), np.int64), np.zeros(len(length), np.int64)
             full = length == capacity
             sequence[full] = full_base + rank[full]
@@ -193,23 +194,40 @@ def _place_batches(table: dict[int, list[tuple]], capacity: int, full_base: int)
                     k = rank[rows] - first
                     sequence[rows] = base + k // len(offsets)
                     offset[rows] = np.array(offsets)[k % len(offsets)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(5)), pa.array(sequence), pa.array(offset)], names=[c.split()[0] for c in _PACKED.split(", ")])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(5)), pa.array(sequence), pa.array(offset), batch.column(5)], names=[c.split()[0] for c in _PLACED.split(", ")])
 
     return run
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _numbered(spark: SparkSession, packed: DataFrame, n: int) -> DataFrame:
+    """``packed`` with its sequences numbered by the turn of their first piece."""
+    packed = store.materialise(packed, "packed")
+    first = store.materialise(packed.groupBy("sequence_id").agg(F.min("turn").alias("first")), "sequences", thin=True)
+    ranges = id_ranges(first, "first", n)
+    first = first.withColumn("own", ranges.column("first"))
+    earlier = Window.orderBy("own").rowsBetween(Window.unboundedPreceding, -1)
+    # a row a range: at most n rows in one task
+    before = first.groupBy("own").agg(F.count("*").alias("c")).select("own", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("own").orderBy("first", "sequence_id")
+    first = first.withColumn("inside", F.row_number().over(inside) - 1).join(F.broadcast(before), "own")
+    first = first.select("sequence_id", (F.col("inside") + F.col("before")).cast("long").alias("number"))
+    names = [c.split()[0] for c in _PACKED.split(", ")]
+    return packed.join(first, "sequence_id").select(*(F.col("number").alias(c) if c == "sequence_id" else c for c in names))
+
+
+def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", turn_col: str | None = None) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` ids; only longer ones are cut.
 
     Returns ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.  Null and empty texts are the end
     id alone; repeated rows and ids are packed as often as they occur; a null id is kept as null.  An empty
-    table gives an empty result.  Other columns are ignored.
+    table gives an empty result.  Other columns are ignored.  Pieces of one length take their places in the order
+    of ``turn_col`` (ids where it is None); with it, sequences are numbered by the turn of their first piece.
     """
     spark = docs.sparkSession
     n = store.partitions(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ranges = id_ranges(rows, "doc_id", n)
-    pieces = rows.select("doc_id", "text", ranges.column("doc_id").alias("own")).mapInArrow(store.trimmed(_piece_batches(tokenizer or default_tokenizer(), capacity, end_id)), _PIECES)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(turn_col or id_col).cast("long").alias("turn"))
+    ranges = id_ranges(rows, "turn", n)
+    pieces = rows.select("doc_id", "text", ranges.column("turn").alias("own"), "turn").mapInArrow(store.trimmed(_piece_batches(tokenizer or default_tokenizer(), capacity, end_id)), _PIECES)
     pieces = store.materialise(pieces, "pieces")
     # the histogram has at most ``capacity`` rows whatever the corpus
     histogram = {r["length"]: r["c"] for r in pieces.groupBy("length").agg(F.count("*").alias("c")).collect()}
@@ -220,7 +238,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     counts = pieces.groupBy("length", "own").agg(F.count("*").alias("c"))
     earlier = Window.partitionBy("length").orderBy("own").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("length", "own", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("own", "length").orderBy("doc_id", "piece", "ids_crc32")
+    inside = Window.partitionBy("own", "length").orderBy("turn", "piece", "ids_crc32")
     ranked = pieces.withColumn("inside", F.row_number().over(inside) - 1).join(before, ["length", "own"])
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("inside") + F.col("before")).alias("rank"))
-    return ranked.mapInArrow(_place_batches(table, capacity, full_base), _PACKED)
+    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "turn", (F.col("inside") + F.col("before")).alias("rank"))
+    packed = ranked.mapInArrow(_place_batches(table, capacity, full_base), _PLACED)
+    return _numbered(spark, packed, n) if turn_col else packed.drop("turn")

@@ -362,3 +362,20 @@ def test_toxic_matter_behind_long_clean_text_is_learnt(spark):
     assert min(len(t) for _, t in rows) > 6000
     marks = {r.doc_id: r.predicted for r in toxicity.score(docs, toxicity.train_from(docs, labels)).collect()}
     assert all(marks[k] == (k % 3 == 0) for k in range(240))
+
+
+def test_the_mixture_reaches_the_packed_sequences(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[2:])
+    docs, found = docs_of(spark, sf_dir), {}
+    for name, weights in (("even", {f"src{k}": 1.0 for k in range(8)}), ("steep", {f"src{k}": 4.0**k for k in range(8)})):
+        monkeypatch.setattr(corpus_pipeline, "WEIGHTS", weights, raising=False)
+        rows = corpus_pipeline.run(spark, sf_dir).collect()
+        check_packing(rows, [(r.doc_id, r.text) for r in docs.collect()])
+        turn = {r.doc_id: r._position for r in mixing.with_slots(docs, weights).collect()}
+        first: dict[int, int] = {}
+        for r in rows:
+            first[r.sequence_id] = min(first.get(r.sequence_id, turn[r.doc_id]), turn[r.doc_id])
+        opened = [first[s] for s in range(len(first))]
+        assert opened == sorted(opened)
+        found[name] = {(r.doc_id, r.piece): (r.sequence_id, r.offset) for r in rows}
+    assert found["even"] != found["steep"]
