@@ -1,14 +1,14 @@
 """Token-id output (operator 7): id ranges written as Re-Pair grammars, readable document by document.
 
-One file holds the ids of consecutive documents (ascending id).  Re-Pair rounds replace frequent pairs of
-neighbouring symbols by nonterminals; a pair never spans two documents, so a document is a run of symbols and
-is decoded alone.  A round counts every pair of the shard and replaces all frequent ones together, left to
-right without overlap, so a few rounds stand for thousands of single replacements.
+One file holds the ids of consecutive documents (ascending id).  Re-Pair replaces the most frequent pairs of
+neighbouring symbols by nonterminals until no pair pays for its rule; a pair never spans two documents, so a
+document is a run of symbols and is decoded alone.  Pairs whose counts share a power of two are replaced in one
+vectorised step, the more frequent first where they overlap, and all counts are current when a step begins.
 
 File layout (little-endian, sections in this order):
 
-    magic "OPRP0001" | header length u32 | header JSON
-    rules   u32 x 2 x rules      left and right symbol of nonterminal first_rule + i (earlier symbols only)
+    magic "OPRP0002" | header length u32 | header JSON
+    rules   u32 x 2 x rules      left and right symbol of nonterminal first_rule + i (symbols of earlier steps only)
     lengths u32 x rules          ids that a nonterminal expands to
     ids     i64 x docs, present u8 x docs (0: null id), first symbol u64 x (docs + 1), n_ids u64 x docs
     symbols u16 or u32 x symbols
@@ -27,67 +27,199 @@ from pyspark.sql import functions as F
 
 from opinara.llm import store
 from opinara.llm.ordering import id_ranges
-from opinara.llm.tokens import default_tokenizer, encoder
+from opinara.llm.tokens import default_tokenizer, encoder, forget
 
 END_ID = 1
 #: Ids of one file; a longer document gets a file of its own.
 FILE_IDS = 1 << 20
-#: A pair is frequent from so many occurrences in its file; rounds end when one saves less than LEAST_GAIN.
-LEAST_COUNT, LEAST_GAIN, MOST_ROUNDS = 12, 0.03, 6
-_MAGIC = b"OPRP0001"
-_BUCKET_BITS = 18
-
-
-def compress(ids: np.ndarray, last: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Re-Pair over ``ids``; ``last`` marks final symbols of documents.  Returns rules (n x 2), symbols, last."""
-    symbols, rules, mask = ids.astype(np.uint32), [], np.uint32((1 << _BUCKET_BITS) - 1)
-    made = 0
-    for _ in range(MOST_ROUNDS):
-        if len(symbols) < 2:
-            break
-        left, right = symbols[:-1], symbols[1:]
-        bucket = ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA6B))) >> np.uint32(32 - _BUCKET_BITS)
-        bucket &= mask
-        whole = ~last[:-1]
-        crowded = np.bincount(bucket[whole], minlength=1 << _BUCKET_BITS) >= LEAST_COUNT
-        at = np.flatnonzero(whole & crowded[bucket])
+#: A rule takes 12 bytes and a use saves a symbol of 2 or 4: pairs that occur 6 times at least pay; those between
+#: 6 and 12 times shorten files by 2 % and take 12 % of the time, so they are left.
+LEAST_COUNT = 12
+_MAGIC = b"OPRP0002"
+_BUCKET_BITS, _SYMBOL_BITS = 18, 22
+_NONE = np.iinfo(np.int64).max
+#: ``k`` with ``2**(k - 1) <= count < 2**k`` (the largest pairs share the last one).
+_SIZE = np.frexp(np.arange((1 << 20) + 1))[1].astype(np.int8)
+_U = np.uint64
+
+
+class _Pool:
+    """Places of pairs that wait for their turn, by the power of two below their pair's count."""
+
+    def __init__(self):
+        self.waiting: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    def add(self, codes: np.ndarray, places: np.ndarray, counts: np.ndarray) -> None:
+        if not len(places):
+            return
+        size = _SIZE[np.minimum(counts, len(_SIZE) - 1)]
+        for k in np.flatnonzero(np.bincount(size)).tolist():
+            own = np.flatnonzero(size == k)
+            self.waiting.setdefault(k, []).append((places[own], codes[own]))
+
+    def largest(self) -> tuple[int, np.ndarray, np.ndarray] | None:
+        if not self.waiting:
+            return None
+        k = max(self.waiting)
+        places, codes = zip(*self.waiting.pop(k), strict=True)
+        return k, np.concatenate(places), np.concatenate(codes)
+
+
+def _grouped(codes: np.ndarray, places: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes that occur ``least`` times and their places, by code and place; and how often each row's code occurs."""
+    bits = max(1, int(places.max()).bit_length()) if len(places) else 1
+    if len(codes) and int(codes.max()).bit_length() + bits <= 64:  # one sort of packed words
+        packed = np.sort(codes << np.uint64(bits) | places.astype(np.uint64))
+        codes, places = packed >> np.uint64(bits), (packed & np.uint64((1 << bits) - 1)).astype(np.int32)
+    else:
+        order = np.lexsort((places, codes))
+        codes, places = codes[order], places[order]
+    return _runs(codes, places, least)
+
+
+def _runs(codes: np.ndarray, places: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_grouped`` of rows whose equal codes lie together."""
+    begins = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.empty(0, np.int64)
+    sizes = np.diff(np.append(begins, len(codes))).astype(np.int32)
+    counts = np.repeat(sizes, sizes)
+    enough = counts >= least
+    return codes[enough], places[enough], counts[enough]
+
+
+def _apart(places: np.ndarray, after: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which of the occurrences (ascending places, each with the next symbol's place) may be replaced together.
+
+    Of two that share a symbol the pair of smaller rank wins; of a run of one pair every second one, from the left.
+    """
+    n = len(places)
+    touch = np.zeros(n + 1, dtype=bool)  # shares a symbol with the occurrence before
+    touch[1:n] = after[:-1] == places[1:]
+    same = touch[:n].copy()
+    same[1:] &= rank[1:] == rank[:-1]
+    begins = np.flatnonzero(~same)
+    taken = np.zeros(n, dtype=bool)
+    open_ = (np.arange(n) - np.repeat(begins, np.diff(np.append(begins, n)))) % 2 == 0
+    at = np.flatnonzero(open_)
+    while len(at):
+        left = np.where(touch[at] & (at > 0) & open_[at - 1], rank[at - 1], _NONE)
+        right = np.where(touch[at + 1] & open_[np.minimum(at + 1, n - 1)], rank[np.minimum(at + 1, n - 1)], _NONE)
+        won = at[(rank[at] < left) & (rank[at] < right)]
+        taken[won] = True
+        open_[won] = False
+        open_[won[touch[won]] - 1] = False
+        open_[won[touch[won + 1]] + 1] = False
+        at = at[open_[at]]
+    return taken
+
+
+def compress(ids: np.ndarray, last: np.ndarray, first_rule: int, least: int = LEAST_COUNT) -> tuple[np.ndarray, list[int], np.ndarray, np.ndarray]:
+    """Re-Pair over ``ids``; ``last`` marks final symbols of documents.
+
+    Returns the rules (n x 2), how many each step made, the symbols left and their ``last`` marks.  Pairs take
+    their turns by falling count: a step replaces all pairs whose count lies between one power of two and the next,
+    the more frequent of two overlapping ones first.  Counts are kept current (a pair's places come into being
+    when the later of its symbols does, and are checked again when its turn comes), and steps go on until no pair
+    occurs ``least`` times.
+    """
+    n = len(ids)
+    symbols, last = ids.astype(np.uint32), last.copy()
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    alive, fresh = np.ones(n, dtype=bool), np.zeros(n, dtype=bool)
+    pool, rules, steps, made = _Pool(), [], [], 0
+
+    def admit(places: np.ndarray) -> None:
+        places = places[~last[places]]
+        codes = symbols[places].astype(_U) << _U(_SYMBOL_BITS) | symbols[after[places]]
+        bits = min(_BUCKET_BITS, max(8, len(codes).bit_length() + 1))
+        bucket = ((codes * _U(0x9E3779B97F4A7C15)) >> _U(64 - bits)).astype(np.int32)
+        crowded = (np.bincount(bucket) >= least)[bucket]
+        pool.add(*_grouped(codes[crowded], places[crowded], least))
+
+    admit(np.arange(n))
+    while (turn := pool.largest()) is not None:
+        size, places, codes = turn
+        # places whose symbols have changed since are gone
+        ok = alive[places] & ~last[places]
+        places, codes = places[ok], codes[ok]
+        ok = (symbols[places].astype(_U) << _U(_SYMBOL_BITS) | symbols[after[places]]) == codes
+        codes, places, counts = _runs(codes[ok], places[ok], least)
+        now = counts >= 1 << (size - 1)
+        if not now.all():
+            pool.add(codes[~now], places[~now], counts[~now])
+            codes, places, counts = codes[now], places[now], counts[now]
+        if not len(places):
+            continue
+        begins = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+        order = np.empty(len(begins), dtype=np.int64)
+        order[np.argsort(-counts[begins], kind="stable")] = np.arange(len(begins))
+        rank = np.repeat(order, np.diff(np.append(begins, len(codes))))
+        packed = np.sort(places.astype(np.int64) << _SYMBOL_BITS | rank)  # a step has fewer pairs than there can be symbols
+        at, kind = packed >> _SYMBOL_BITS, packed & ((1 << _SYMBOL_BITS) - 1)
+        taken = _apart(at, after[at], kind)
+        at, kind = at[taken], kind[taken]
+        used = np.bincount(kind, minlength=len(begins))
+        # a pair that lost its places to more frequent ones waits with those that are left
+        lost = ~(used >= least)[rank]
+        fewer = np.minimum(counts[lost], (1 << (size - 1)) - 1)
+        again = fewer >= least
+        pool.add(codes[lost][again], places[lost][again], fewer[again])
+        kept = np.flatnonzero(used >= least)
+        number = np.full(len(begins), -1, dtype=np.int64)
+        number[kept] = np.arange(len(kept))
+        own = number[kind] >= 0
+        at, kind = at[own], number[kind[own]]
         if not len(at):
-            break
-        pair = left[at].astype(np.uint64) << np.uint64(32) | right[at]
-        values, inverse, counts = np.unique(pair, return_inverse=True, return_counts=True)
-        frequent = counts >= LEAST_COUNT
-        if not frequent.any():
-            break
-        hit = frequent[inverse]
-        at, inverse = at[hit], inverse[hit]
-        # of a run of overlapping occurrences every second one is replaced, from the left
-        run_starts = np.concatenate([[True], np.diff(at) != 1])
-        place = np.arange(len(at)) - np.flatnonzero(run_starts)[np.cumsum(run_starts) - 1]
-        taken = place % 2 == 0
-        at, inverse = at[taken], inverse[taken]
-        used, compact = np.unique(inverse, return_inverse=True)
-        gain = len(at) / len(symbols)
-        rules.append(np.stack([values[used] >> np.uint64(32), values[used] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
-        symbols = symbols.copy()
-        symbols[at] = first_rule + made + compact
-        last = last.copy()
-        last[at] = last[at + 1]
-        keep = np.ones(len(symbols), dtype=bool)
-        keep[at + 1] = False
-        symbols, last, made = symbols[keep], last[keep], made + len(used)
-        if gain < LEAST_GAIN:
-            break
-    return np.concatenate(rules) if rules else np.empty((0, 2), np.uint32), symbols, last
-
-
-def expansions(rules: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray]:
-    """All rules' expansions end to end, and where each begins (rules + 1 offsets)."""
-    out: list[np.ndarray] = []
-    for a, b in rules.tolist():
-        parts = [out[x - first_rule] if x >= first_rule else np.array([x], dtype=np.uint32) for x in (a, b)]
-        out.append(np.concatenate(parts))
-    at = np.concatenate([[0], np.cumsum([len(x) for x in out], dtype=np.int64)]).astype(np.int64)
-    return (np.concatenate(out) if out else np.empty(0, np.uint32)), at
+            continue
+        pair = codes[begins][np.argsort(order)][kept]
+        rules.append(np.stack([pair >> _U(_SYMBOL_BITS), pair & _U((1 << _SYMBOL_BITS) - 1)], axis=1).astype(np.uint32))
+        steps.append(len(kept))
+        second = after[at]
+        symbols[at] = first_rule + made + kind
+        last[at] = last[second]
+        alive[second] = False
+        after[at] = after[second]
+        inner = after[at] < n
+        before[after[at][inner]] = at[inner]
+        made += len(kept)
+        fresh[at] = True
+        ahead = before[at]
+        ahead = ahead[ahead >= 0]
+        admit(np.concatenate([at, ahead[~fresh[ahead]]]))
+        fresh[at] = False
+    return np.concatenate(rules) if rules else np.empty((0, 2), np.uint32), steps, symbols[alive], last[alive]
+
+
+def rule_lengths(rules: np.ndarray, steps: list[int], first_rule: int) -> np.ndarray:
+    """How many ids each rule expands to; a step's rules are built of earlier symbols only."""
+    out, at = np.ones(first_rule + len(rules), dtype=np.int64), 0
+    for made in steps:
+        a, b = rules[at : at + made].T
+        out[first_rule + at : first_rule + at + made] = out[a] + out[b]
+        at += made
+    return out[first_rule:]
+
+
+def _spans(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``flat[begin : begin + size]`` of every row, end to end."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(begin - (ends - size), size) + np.arange(total)]
+
+
+def expansions(rules: np.ndarray, lengths: np.ndarray, steps: list[int], first_rule: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(flat, begin, size)``: symbol ``s`` stands for ``flat[begin[s] : begin[s] + size[s]]``; ids for themselves."""
+    size = np.concatenate([np.ones(first_rule, np.int64), lengths.astype(np.int64)])
+    begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+    flat = np.empty(int(size.sum()), dtype="<u4")
+    flat[:first_rule] = np.arange(first_rule)
+    at = 0
+    for made in steps:
+        both = rules[at : at + made].reshape(-1)
+        got = _spans(flat, begin[both], size[both])
+        where = begin[first_rule + at]
+        flat[where : where + len(got)] = got
+        at += made
+    return flat, begin, size
 
 
 def encode_file(doc_ids: list[int | None], documents: list[np.ndarray], first_rule: int) -> bytes:
@@ -96,20 +228,18 @@ def encode_file(doc_ids: list[int | None], documents: list[np.ndarray], first_ru
     ids = np.concatenate(documents).astype(np.uint32)
     last = np.zeros(len(ids), dtype=bool)
     last[np.cumsum(counts).astype(np.int64) - 1] = True
-    rules, symbols, last = compress(ids, last, first_rule)
+    rules, steps, symbols, last = compress(ids, last, first_rule)
     first = np.concatenate([[0], np.flatnonzero(last) + 1]).astype("<u8")
-    lengths: list[int] = []
-    for a, b in rules.tolist():
-        lengths.append(sum(lengths[x - first_rule] if x >= first_rule else 1 for x in (a, b)))
+    lengths = rule_lengths(rules, steps, first_rule)
     kind = "<u2" if first_rule + len(rules) <= 1 << 16 else "<u4"
-    header = json.dumps({"docs": len(documents), "rules": len(rules), "symbols": len(symbols), "first_rule": first_rule, "kind": kind, "ids": int(counts.sum())}).encode()
+    header = json.dumps({"docs": len(documents), "rules": len(rules), "symbols": len(symbols), "first_rule": first_rule, "kind": kind, "ids": int(counts.sum()), "steps": steps}).encode()
     return b"".join(
         [
             _MAGIC,
             len(header).to_bytes(4, "little"),
             header,
             rules.astype("<u4").tobytes(),
-            np.array(lengths, dtype="<u4").tobytes(),
+            lengths.astype("<u4").tobytes(),
             np.array([d or 0 for d in doc_ids], dtype="<i8").tobytes(),
             np.array([d is not None for d in doc_ids], dtype=np.uint8).tobytes(),
             first.tobytes(),
@@ -140,24 +270,10 @@ class TokenFile:
         self.doc_ids = [int(i) if p else None for i, p in zip(ids, present, strict=True)]
         self.first, self.counts = take("<u8", h["docs"] + 1).astype(np.int64), take("<u8", h["docs"]).astype(np.int64)
         self.symbols = take(h["kind"], h["symbols"])
-        self._flat, self._at = expansions(self.rules, h["first_rule"])
+        self._flat, self._begin, self._size = expansions(self.rules, self.lengths, h["steps"], h["first_rule"])
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
-        first_rule = self.header["first_rule"]
-        symbols = symbols.astype(np.int64)
-        rule = symbols >= first_rule
-        size = np.ones(len(symbols), dtype=np.int64)
-        size[rule] = self.lengths[symbols[rule] - first_rule]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        out = np.empty(total, dtype="<u4")
-        begin = ends - size
-        out[begin[~rule]] = symbols[~rule]
-        span = np.repeat(self._at[symbols[rule] - first_rule] - (np.cumsum(size[rule]) - size[rule]), size[rule])
-        into = np.repeat(begin[rule] - (np.cumsum(size[rule]) - size[rule]), size[rule])
-        steps = np.arange(len(span))
-        out[into + steps] = self._flat[span + steps]
-        return out
+        return _spans(self._flat, self._begin[symbols], self._size[symbols])
 
     def document(self, k: int) -> np.ndarray:
         """Ids of the file's k-th document, from its own symbols."""
@@ -177,17 +293,16 @@ def _token_batches(path: str, end_id: int):
         for batch in batches:
             texts = batch.column(1)
             for a in range(0, batch.num_rows, 512):
-                ids = [enc.ids(t).tobytes() + end for t in texts.slice(a, 512).to_pylist()]
+                ids = [enc.coded(t) + end for t in texts.slice(a, 512).to_pylist()]
                 rest = [batch.column(c).slice(a, 512) for c in (0, 2)]
                 yield pa.RecordBatch.from_arrays([rest[0], pa.array(ids, pa.binary()), rest[1]], names=["doc_id", "ids", "shard"])
 
     return run
 
 
-def _file_batches(folder: str, path: str):
+def _file_batches(folder: str, first_rule: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
-        first_rule = enc.tokenizer.get_vocab_size(with_added_tokens=True)
+        forget()
         docs: list = []
         ids: list[np.ndarray] = []
         held, shard, seq = 0, None, 0
@@ -200,7 +315,7 @@ def _file_batches(folder: str, path: str):
 
         for batch in batches:
             for doc, data, where in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                own = np.frombuffer(data, dtype=enc.dtype)
+                own = np.frombuffer(data, dtype=kind)
                 if docs and (where != shard or held + len(own) > FILE_IDS):
                     yield close()
                     docs, ids, held, seq = [], [], 0, seq + 1
@@ -223,12 +338,13 @@ def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | No
     """
     spark = docs.sparkSession
     path, folder = tokenizer or default_tokenizer(), folder or store.scratch(spark, "tokens")
+    enc = encoder(path)
     n = store.partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ranges = id_ranges(rows, "doc_id", n)
     coded = rows.select("doc_id", "text", ranges.column("doc_id").alias("shard")).mapInArrow(_token_batches(path, end_id), "doc_id long, ids binary, shard int")
     ordered = coded.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "doc_id", "ids")
-    files = ordered.select("doc_id", "ids", "shard").mapInArrow(_file_batches(folder, path), "shard int, seq int, path string, docs long, ids long")
+    files = ordered.select("doc_id", "ids", "shard").mapInArrow(store.trimmed(_file_batches(folder, enc.tokenizer.get_vocab_size(with_added_tokens=True), enc.dtype.str)), "shard int, seq int, path string, docs long, ids long")
     files = store.materialise(files, "token-index")
     totals = {r["shard"]: r["t"] for r in files.groupBy("shard").agg(F.sum("ids").alias("t")).collect()}  # <= n rows
     before, offsets = 0, []
@@ -245,7 +361,7 @@ def _document_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             out: list[tuple] = []
             for doc, ids in TokenFile(store.fetch(path)).documents():
-                out.append((doc, start, len(ids), zlib.crc32(ids.tobytes())))
+                out.append((doc, start, len(ids), zlib.crc32(ids)))
                 start += len(ids)
             columns = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "n_tokens", "ids_crc32"])
@@ -255,4 +371,4 @@ def read_tokens(index: DataFrame) -> DataFrame:
     """Decode every file of an index: ``doc_id, start, n_tokens, ids_crc32`` (crc of the ids as u32, unsigned)."""
     n = store.partitions(index.sparkSession)
     dealt = index.select("path", "start", "shard").repartitionById(n, F.col("shard"))
-    return dealt.select("path", "start").mapInArrow(_document_batches, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return dealt.select("path", "start").mapInArrow(store.trimmed(_document_batches), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -13,8 +13,10 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Entries of each cache of one Python worker; at the bound the cache is emptied.
-CACHE_ENTRIES = 500_000
+from opinara.llm import store
+
+#: Entries of the cache of one Python worker; at the bound it is emptied.
+CACHE_ENTRIES = 750_000
 _MARKS = ",.;:!?"
 _PROBES = ("Berlin", "straße", "élan", "Über", "don", "s", "ÀÿÖ", "unzerschlagbar")
 
@@ -42,11 +44,11 @@ class ChunkIds(dict):
         self.dtype = np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.model = self.tokenizer.model
-        self.stems: dict[str, bytes] = {}
         self.direct = False
+        self.marks = {m: self._full(m) for m in _MARKS}
         self.words = self._word_path_is_exact()
         self.direct = self.words and self._model_path_is_exact()
-        self.marks = {m: self._full(m) for m in _MARKS}
+        self.folds = self.words and all(self._full(c) == self._full(c.lower()) for c in map(chr, range(256)))
 
     def _full(self, chunk: str) -> bytes:
         ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
@@ -71,21 +73,16 @@ class ChunkIds(dict):
             return False
 
     def __missing__(self, chunk: str) -> bytes:
-        tail = ""
-        if self.words and chunk and (chunk.isascii() or max(chunk) <= "ÿ"):
-            word = chunk
-            if not chunk.isalpha() and chunk[-1] in _MARKS:
-                word, tail = chunk[:-1], chunk[-1]
-            if word.isalpha():
-                word = word.lower()
-                got = self.stems.get(word)
-                if got is None:  # most words that are seen once are never seen again: no chunk is kept for them
-                    if len(self.stems) >= self.limit:
-                        self.stems.clear()
-                    got = self.stems[word] = self._model(word) if self.direct else self._full(word)
-                    return got + self.marks[tail] if tail else got
-                return self._keep(chunk, got + self.marks[tail] if tail else got)
-        return self._keep(chunk, self._full(chunk))
+        if not self.words or not chunk:
+            return self._keep(chunk, self._full(chunk))
+        word, tail = (chunk, b"") if chunk.isalpha() else (chunk[:-1], self.marks.get(chunk[-1]))
+        if tail is None or not word.isalpha() or not (word.isascii() or max(word) <= "ÿ"):
+            return self._keep(chunk, self._full(chunk))
+        low = word.lower()
+        got = None if low == chunk else self.get(low)
+        if got is None:  # most words that are seen once are never seen again: only their plain form is kept
+            return self._keep(low, self._model(low) if self.direct else self._full(low)) + tail
+        return self._keep(chunk, got + tail)
 
     def _keep(self, chunk: str, got: bytes) -> bytes:
         if len(self) >= self.limit:
@@ -95,11 +92,21 @@ class ChunkIds(dict):
 
     def ids(self, text: str | None) -> np.ndarray:
         """Ids of a whole text; null and empty texts have none."""
+        return np.frombuffer(self.coded(text), dtype=self.dtype)
+
+    def coded(self, text: str | None) -> bytes:
+        """The little-endian bytes of ``ids``."""
         if not text:
-            return np.empty(0, dtype=self.dtype)
+            return b""
         if not self.words:
-            return np.frombuffer(self._full(text), dtype=self.dtype)
-        return np.frombuffer(b"".join([self[c] for c in text.replace("\n", " ").split(" ")]), dtype=self.dtype)
+            return self._full(text)
+        if self.folds:
+            try:
+                text.encode("latin-1")
+                text = text.lower()  # fewer different chunks
+            except UnicodeEncodeError:
+                pass
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @lru_cache(maxsize=2)
@@ -108,6 +115,12 @@ def encoder(path: str) -> ChunkIds:
     return ChunkIds(path)
 
 
+def forget() -> None:
+    """Give a worker's caches back: its next stage does not tokenize."""
+    encoder.cache_clear()
+    store.trim()
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
