@@ -27,9 +27,9 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
-    out = mixing.with_slots(docs)
-    return out.select("doc_id", "source", *(F.col(f"_{c}").alias(c) for c in ("block", "slot", "release", "deadline", "position")))
+    """Whole rows, in the order of the mixture."""
+    out = mixing.with_slots(_table(spark, sf_dir, "documents")).orderBy("_position")
+    return out.withColumnsRenamed({c: c.removeprefix("_") for c in mixing.ADDED})
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
