@@ -2,10 +2,10 @@
 
 Pieces have at most ``capacity`` different lengths, so the packing is planned on a histogram whose size does
 not depend on the corpus: a *pattern* is a multiset of lengths that fills one sequence, used as often as its
-scarcest length allows.  Patterns come from branch and bound: the largest length left opens a sequence, its
-undominated fillings (no length left could replace a member by a larger one and still fit) are enumerated with
-larger members first, a branch is cut when what is left cannot beat the least waste found so far, and the
-best-fit completion is the first incumbent.  The plan as a whole starts from best-fit decreasing as incumbent.
+scarcest length allows.  Patterns come from branch and bound over all sequences: the largest length left opens one,
+its undominated fillings (no length left out could replace members of its sum, or of less where there is room) are
+enumerated with the least waste first, earlier choices are taken back when a branch's waste rules out an
+improvement, and best-fit decreasing is the incumbent.
 
 Pieces take their places by rank within their length.  Ranks come from windows over (id range, length) and
 thin per-range counts, so a length that a third of all documents share is dealt over all ranges.
@@ -14,6 +14,7 @@ thin per-range counts, so a length that a third of all documents share is dealt
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,8 @@ from opinara.llm.tokens import default_tokenizer, encoder
 
 CAPACITY = 2048
 END_ID = 0
-#: Branches of one completion search; the incumbent stands when they are used up.
-BRANCHES = 3000
+#: Fillings tried by one search for a plan (None: no limit); the best packing found stands when they are used up.
+BRANCHES = 50_000
 
 #: A pattern: how many sequences use it, and its lengths, largest first.
 Pattern = tuple[int, tuple[int, ...]]
@@ -48,90 +49,177 @@ def _best_fit_completion(left: dict[int, int], lengths: list[int], room: int) ->
     return chosen
 
 
-def complete(left: dict[int, int], lengths: list[int], room: int, branches: int = BRANCHES) -> list[int]:
-    """The least-waste undominated filling of ``room`` from the lengths left (descending list, counts)."""
-    best = _best_fit_completion(left, lengths, room)
-    least = room - sum(best)
-    if not least or not lengths:
-        return best
-    # bound: everything from position i on
-    tail = [0] * (len(lengths) + 1)
-    for i in range(len(lengths) - 1, -1, -1):
-        tail[i] = tail[i + 1] + lengths[i] * left[lengths[i]]
-    smallest = lengths[-1]
-    budget = branches
-
-    def search(i: int, space: int, chosen: list[int]) -> None:
-        nonlocal best, least, budget
-        if space < least:
-            best, least = list(chosen), space
-        if not least or budget <= 0 or space < smallest:
-            return
-        while i < len(lengths) and lengths[i] > space:
-            i += 1
-        for k in range(i, len(lengths)):
-            if budget <= 0 or not least or space - tail[k] >= least:
-                return
-            x = lengths[k]
-            have = left[x] - chosen.count(x)
-            if have <= 0:
-                continue
-            budget -= 1
-            if x == space:
-                best, least = [*chosen, x], 0
-                return
-            chosen.append(x)
-            search(k, space - x, chosen)
-            chosen.pop()
-
-    # a single exact partner first, then pairs that fill exactly: the dominating fillings
-    if left.get(room, 0) > 0:
-        return [room]
-    for x in lengths:
-        if x < room - x:
-            break
-        if x < room and left.get(room - x, 0) > (x == room - x) and left[x] > 0:
-            return [x, room - x]
-    search(0, room, [])
-    return best
-
-
 def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> list[Pattern]:
-    return _plan(histogram, capacity, lambda left, lengths, room: _best_fit_completion(left, lengths, room))
-
-
-def _plan(histogram: dict[int, int], capacity: int, filling) -> list[Pattern]:
+    """The incumbent: the largest length left opens a sequence, which is completed by best fit."""
     left = {x: c for x, c in histogram.items() if c > 0}
     lengths = sorted(left, reverse=True)
     out: list[Pattern] = []
     while lengths:
         first = lengths[0]
         left[first] -= 1
-        members = (first, *filling(left, [x for x in lengths if left[x] > 0 and x <= capacity - first], capacity - first))
+        members = (first, *_best_fit_completion(left, [x for x in lengths if left[x] > 0 and x <= capacity - first], capacity - first))
         left[first] += 1
-        need: dict[int, int] = {}
-        for x in members:
-            need[x] = need.get(x, 0) + 1
-        times = min(left[x] // c for x, c in need.items())
-        for x, c in need.items():
-            left[x] -= c * times
-        out.append((times, members))
+        out.append((_use(left, members), members))
         lengths = [x for x in lengths if left[x] > 0]
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, branches: int = BRANCHES) -> list[Pattern]:
-    """Patterns that use every piece once; never more sequences than best-fit decreasing.
+def _use(left: dict[int, int], members: tuple[int, ...], most: int | None = None) -> int:
+    """Take a pattern from ``left`` as often as its scarcest length allows (and ``most``)."""
+    need = Counter(members)
+    times = min(left[x] // c for x, c in need.items())
+    times = times if most is None else min(times, most)
+    for x, c in need.items():
+        left[x] -= c * times
+    return times
+
+
+def lower_bound(histogram: dict[int, int], capacity: int) -> int:
+    """Sequences that any packing needs: by total length, and by pieces too long to share (every cut at half or below)."""
+    size = np.zeros(capacity + 1, dtype=np.int64)
+    for x, c in histogram.items():
+        size[x] = c
+    count, total = np.cumsum(size), np.cumsum(size * np.arange(capacity + 1))
+    best = -(-int(total[-1]) // capacity)
+    for k in range(1, capacity // 2 + 1):  # pieces of k to half go into the space that larger ones leave
+        alone = int(count[-1] - count[capacity - k])
+        half = int(count[capacity - k] - count[capacity // 2])
+        space = half * capacity - int(total[capacity - k] - total[capacity // 2])
+        small = int(total[capacity // 2] - total[k - 1])
+        best = max(best, alone + half + max(0, -(-(small - space) // capacity)))
+    return best
+
+
+def _sums(left: dict[int, int], lengths: list[int], room: int) -> list[int]:
+    """For every position: the sums up to ``room`` that the lengths from there on can make, as the bits of a number."""
+    mask = (2 << room) - 1
+    out = [1] * (len(lengths) + 1)
+    for i in range(len(lengths) - 1, -1, -1):
+        bits, x, count, step = out[i + 1], lengths[i], min(left[lengths[i]], room // lengths[i]), 1
+        while count > 0:  # counts by doubling
+            step = min(step, count)
+            bits |= bits << (x * step) & mask
+            count -= step
+            step *= 2
+        out[i] = bits
+    return out
+
+
+def dominated(members: list[int], left: dict[int, int], lengths: list[int], waste: int) -> bool:
+    """Whether a length left out could replace members of its size or a little less: that filling leaves others more.
 
-    At most one pattern a (length, remainder) step: each uses up one length at least or leaves fewer of it than
-    one sequence needs, so there are O(capacity) patterns whatever the counts.
+    ``waste`` is the room that the filling leaves.  One member is replaced by a larger length only, two or more
+    also by one of their sum.
+    """
+    one = several = 0
+    for x in members:
+        several |= (one | several) << x
+        one |= 1 << x
+    used = Counter(members)
+    free = 0
+    for x in lengths:
+        if left[x] > used.get(x, 0):
+            free |= 1 << x
+    return any(free & ((several << more) | (one << more if more else 0)) for more in range(waste + 1))
+
+
+def fillings(left: dict[int, int], lengths: list[int], room: int) -> Iterator[list[int]]:
+    """The undominated fillings of ``room`` from the lengths left (descending list, counts), least waste first.
+
+    A single length that fits exactly dominates every other filling.  Sums that cannot be made are never entered.
+    """
+    if left.get(room, 0) > 0:
+        yield [room]
+        return
+    pairs = [[x, room - x] for x in lengths if x >= room - x > 0 and left.get(room - x, 0) > (x == room - x)]
+    yield from pairs
+    sums = _sums(left, lengths, room)
+
+    def exactly(i: int, sum_: int, chosen: list[int]) -> Iterator[list[int]]:
+        if not sum_:
+            yield list(chosen)
+            return
+        for k in range(i, len(lengths)):
+            x = lengths[k]
+            if x > sum_ or not sums[k] >> sum_ & 1:
+                if not sums[k] >> sum_ & 1:
+                    return
+                continue
+            for take in range(min(left[x], sum_ // x), 0, -1):
+                if sums[k + 1] >> (sum_ - x * take) & 1:
+                    yield from exactly(k + 1, sum_ - x * take, chosen + [x] * take)
+
+    for waste in range(room + 1):
+        if sums[0] >> (room - waste) & 1:
+            for members in exactly(0, room - waste, []):
+                if (waste or len(members) != 2) and not dominated(members, left, lengths, waste):
+                    yield members
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, branches: int | None = BRANCHES) -> list[Pattern]:
+    """Patterns that use every piece once; never more sequences than best-fit decreasing, the first incumbent.
+
+    Depth-first branch and bound: the largest length left opens a sequence, its undominated fillings are tried in
+    turn, each at once for as many sequences as its counts allow, then for one only; a branch is cut when its
+    waste rules out an improvement.  The search returns when its packing meets the lower bound, when everything
+    is tried, or after ``branches`` fillings (None: no limit, a proven optimum) with the best packing found.
     """
     incumbent = best_fit_decreasing(histogram, capacity)
-    bound = -(-sum(x * c for x, c in histogram.items()) // capacity)
-    if sum(t for t, _ in incumbent) <= bound:
-        return incumbent
-    found = _plan(histogram, capacity, lambda left, lengths, room: complete(left, lengths, room, branches))
-    return min(found, incumbent, key=lambda patterns: sum(t for t, _ in patterns))
+    best, most = incumbent, sum(t for t, _ in incumbent)  # the first descent may equal the incumbent
+    bound, total = lower_bound(histogram, capacity), sum(x * c for x, c in histogram.items())
+    left = {x: c for x, c in histogram.items() if c > 0}
+    trail: list[Pattern] = []
+    wasted = 0
+
+    def options() -> Iterator[tuple[int, tuple[int, ...], int]]:
+        lengths = sorted((x for x, c in left.items() if c > 0), reverse=True)
+        first = lengths[0]
+        left[first] -= 1
+        rest = [x for x in lengths if left[x] > 0 and x <= capacity - first]
+        found = fillings(left, rest, capacity - first)
+        while True:
+            members = next(found, None)  # the filling is chosen without the opening piece
+            left[first] += 1
+            if members is None:
+                return
+            full = (first, *members)
+            waste = capacity - sum(full)
+            spare = most * capacity - total - wasted
+            if waste > spare:
+                return
+            times = min(left[x] // c for x, c in Counter(full).items())
+            if waste:
+                times = min(times, spare // waste)
+            yield times, full, waste
+            if times > 1:
+                yield 1, full, waste
+            left[first] -= 1
+
+    frames = [options()] if left else []
+    while frames and (branches is None or branches > 0):
+        step = next(frames[-1], None)
+        if step is None:
+            frames.pop()
+            if trail:
+                times, members = trail.pop()
+                for x, c in Counter(members).items():
+                    left[x] += c * times
+                wasted -= times * (capacity - sum(members))
+            continue
+        times, members, waste = step
+        branches = None if branches is None else branches - 1
+        for x, c in Counter(members).items():
+            left[x] -= c * times
+        trail.append((times, members))
+        wasted += times * waste
+        if any(left.values()):
+            frames.append(options())
+            continue
+        best, most = list(trail), sum(t for t, _ in trail) - 1
+        if most < bound:
+            break
+        frames.append(iter(()))  # its end takes the last step back
+    return best
 
 
 def places(patterns: list[Pattern]) -> dict[int, tuple[np.ndarray, ...]]:
