@@ -2,8 +2,12 @@
 
 import base64
 import hashlib
+import html
+import json
 import os
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -264,7 +268,7 @@ def test_html_text(spark, sf_dir):
     for r in rows:
         text = got[r.page_id].text
         assert got[r.page_id].n_chars == len(text) and text and "&copy;" not in text and "<p>" not in text
-        assert html_template.extract(r.html, {}) == text
+        assert html_template.extract(r.html, html_template.Template()) == text
     page = "<html><body><div class='x'>Site line</div><div><p>Own {0}</p><p>More</p></div><div class='y'>Legal</div></body></html>"
     odd = [(k, f"http://h.example/{k}", page.format(k)) for k in range(8)] + [(20, None, None), (21, "http://other/", ""), (22, "http://one.example/", "<p>Alone</p>")]
     df = spark.createDataFrame([(*r, "t", 3) for r in odd], "page_id long, url string, html string, template string, host int")
@@ -275,12 +279,71 @@ def test_html_text(spark, sf_dir):
 
 
 def test_templates_name_classes(spark, sf_dir):
-    import json
-
     found = {r.host: json.loads(r.template) for r in html_template.templates(spark.read.parquet(f"{sf_dir}/pages.parquet")).collect()}
-    general = found["*"]
-    assert general["main"] == ["/html/body/article"]
-    assert any({"/html", "/html/body", "/html/body/article"} <= set(c["paths"]) and c["within"] is None for c in general["classes"])
+    key, path = html_template._ROOT, {}
+    for label in ("html", "body", "article"):
+        key = path[label] = html_template._key(key, label)
+    holder = next(c for c in found["*"]["classes"] if c["main"])
+    assert holder["main"] == [path["article"]] and holder["within"] is None and set(path.values()) <= set(holder["tags"])
+
+
+def generated_site(rng, host, pages):
+    """Pages of one invented template without telling names, and the main text of each."""
+    word = lambda: "".join(rng.choice("abdegilmnorstu") for _ in range(rng.randrange(2, 9)))
+    words = lambda n: " ".join(word() for _ in range(n))
+    tag, names = rng.choice(["div", "section"]), [f"k{chr(97 + i)}{word()}" for i in range(6)]
+    top = f'<div class="{names[0]}"><p>{words(4)}</p><p>{words(9)}</p></div>'
+    links = [(words(2), word()) for _ in range(5)]
+    note = f'<div id="{names[1]}">{words(7)}</div>'
+    tail = f'<div class="{names[2]}"><span>{words(6)}</span></div>'
+    out = []
+    for k in range(pages):
+        told = [words(rng.randrange(3, 6)), *(words(rng.randrange(8, 40)) for _ in range(rng.randrange(2, 7)))]
+        shown = f"<h2>{told[0]}</h2>" + "".join(f"<p>{t[:9]}<b>{t[9:15]}</b>{t[15:]} &amp; {word()}</p>" for t in told[1:])
+        texts = [told[0]] + [html.unescape(re.sub("<[^>]*>", "", x)) for x in re.findall("<p>(.*?)</p>", shown)]
+        more = "".join(f'<li><a href="/{b}">{a} {k}</a></li>' for a, b in rng.sample(links, 3))
+        body = f'{top}<{tag} class="{names[3]}">{shown}{note}<div class="{names[4]}"><ul>{more}</ul></div></{tag}>{tail}'
+        out.append((f"https://{host}/{k}", f"<html><body>{body}</body></html>", "\n".join(texts)))
+    return out
+
+
+def test_html_text_of_generated_sites(spark):
+    rng = random.Random(8)
+    rows = [(k, *row) for k, row in enumerate(r for site in range(6) for r in generated_site(rng, f"site{site}.example", rng.randrange(9, 20)))]
+    df = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    got = {i: r.text for i, r in by_id(html_template.main_text(df), "page_id").items()}
+    assert got == {r[0]: r[3] for r in rows}
+    # what decides are the classes: without them the notes, links and frames of the site come along
+    found = {r.host: json.loads(r.template) for r in html_template.templates(df).collect()}
+    for _, url, page, text in rows:
+        told = found[url_filter.host_of(url)]
+        assert html_template.extract(page, html_template.Template(told)) == text
+        assert html_template.extract(page, html_template.Template(told | {"classes": []})) != text
+
+
+def test_copies_of_a_page_are_not_taken_for_a_template(spark):
+    page = "<html><body><article><h1>One title</h1><p>The same text on every page.</p></article></body></html>"
+    df = spark.createDataFrame([(k, f"http://copies.example/{k}", page) for k in range(12)], "page_id long, url string, html string")
+    assert {r.text for r in html_template.main_text(df).collect()} == {"One title\nThe same text on every page."}
+
+
+@pytest.mark.parametrize("piece", ['<a "', "<a ", "<a ='", "<div>", "<!--", "<button>x", "</div>", "<", "<p>x", "<ul><li>", '<a " " =" ', "</p"])
+def test_html_of_any_length_is_read_in_one_pass(piece):
+    page = piece * (1_000_000 // len(piece))
+    start = time.process_time()
+    html_template.extract(page, html_template.Template())
+    html_template.page_tokens(page)
+    assert time.process_time() - start < 12
+
+
+def test_html_details():
+    text = lambda page: html_template.extract(page, html_template.Template())
+    assert text('<article><p class="legal-note">kept?</p><div class="search-results">A study</div></article>') == "kept?\nA study"
+    assert text("<button-group>x</button-group><p>main text</p><template-x>y</template-x>") == "x\nmain text\ny"
+    assert text("<p>one<p>two<li>three<li>four") == "one\ntwo\nthree\nfour"
+    assert text("<article><p>t</p><div class='comments'><p>c</p></div><aside>a</aside><form>f</form></article><div class=ad>b</div>") == "t"
+    assert text("a < b<p title='x>y'>c &lt;d&gt; &#233;</p><script>if (a < b) '<p>no</p>'</script><style>p{}</style><!-- no <p>no</p> -->") == "a < b\nc <d> é"
+    assert text(None) == text("") == text("<p> \n </p>") == ""
 
 
 def test_toxicity(spark, sf_dir, awkward):
