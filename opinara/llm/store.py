@@ -15,14 +15,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_HELD: dict[str, list[str]] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
     """The cluster's shared folder; a fresh local one only where the session names none."""
     root = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
     if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="opinara-shared-")
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not known.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {_KEY} to a folder that the driver and all executors share")
+        root = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp(prefix="opinara-shared-")
         spark.conf.set(_KEY, root)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(root)
@@ -30,24 +33,35 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A path of its own in the shared folder."""
-    return f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder, remembered until it is dropped (see ``drop_scratch``)."""
+    path = f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _HELD.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def materialise(df: DataFrame, label: str, thin: bool = False) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends there.
 
-    ``thin`` tables (ids and counts) are written by an eighth of the shuffle partitions.
+    ``thin`` tables (ids and counts) are written by an eighth of the shuffle partitions, behind a shuffle of their
+    own: what makes the rows runs in all tasks.
     """
     path = scratch(df.sparkSession, label)
-    (df.coalesce(max(1, partitions(df.sparkSession) // 8)) if thin else df).write.parquet(path)
+    (df.repartition(max(1, partitions(df.sparkSession) // 8)) if thin else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop(spark: SparkSession, *paths: str) -> None:
-    """Remove scratch tables that no later stage reads."""
+def held(spark: SparkSession) -> list[str]:
+    """The scratch paths of this application that still exist, oldest first."""
+    return list(_HELD.get(spark.sparkContext.applicationId, ()))
+
+
+def drop_scratch(spark: SparkSession, keep: int = 0, last: int = 0) -> None:
+    """Remove the scratch tables but the first ``keep`` and the ``last`` ones: nothing may read them any more."""
+    paths = _HELD.get(spark.sparkContext.applicationId, [])
+    gone = paths[keep : len(paths) - last]
+    del paths[keep : len(paths) - last]
     jvm = spark.sparkContext._jvm
-    for path in paths:
+    for path in gone:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -73,10 +87,12 @@ def publish(uri: str, data: bytes) -> None:
     where.move(attempt, path)
 
 
-def fetch(uri: str) -> bytes:
+def fetch(uri: str, offset: int = 0, size: int | None = None) -> bytes:
+    """A file, or ``size`` bytes of it from ``offset`` on."""
     where, path = open_fs(uri)
-    with where.open_input_stream(path, compression=None) as source:
-        return source.read()
+    with where.open_input_file(path) as source:
+        source.seek(offset)
+        return source.read(size)
 
 
 def trim() -> None:

@@ -1,11 +1,12 @@
 """Token-id output (operator 7): id ranges written as Re-Pair grammars, readable document by document.
 
-One file holds the ids of consecutive documents (ascending id).  Re-Pair replaces the most frequent pairs of
+A file is a row of sections, each with its own grammar and readable alone; a section holds the ids of consecutive
+documents (ascending id).  Re-Pair replaces the most frequent pairs of
 neighbouring symbols by nonterminals until no pair pays for its rule; a pair never spans two documents, so a
-document is a run of symbols and is decoded alone.  Pairs whose counts share a power of two are replaced in one
+document is a run of symbols and is decoded alone.  Pairs whose counts share a power of four are replaced in one
 vectorised step, the more frequent first where they overlap, and all counts are current when a step begins.
 
-File layout (little-endian, sections in this order):
+Section layout (little-endian, parts in this order):
 
     magic "OPRP0002" | header length u32 | header JSON
     rules   u32 x 2 x rules      left and right symbol of nonterminal first_rule + i (symbols of earlier steps only)
@@ -30,21 +31,21 @@ from opinara.llm.ordering import id_ranges
 from opinara.llm.tokens import default_tokenizer, encoder, forget
 
 END_ID = 1
-#: Ids of one file; a longer document gets a file of its own.
-FILE_IDS = 1 << 20
+#: Ids of one section (its arrays stay in a core's cache; a longer document has one of its own), and of one file.
+SECTION_IDS, FILE_IDS = 1 << 18, 1 << 24
 #: A rule takes 12 bytes and a use saves a symbol of 2 or 4: pairs that occur 6 times at least pay; those between
 #: 6 and 12 times shorten files by 2 % and take 12 % of the time, so they are left.
 LEAST_COUNT = 12
 _MAGIC = b"OPRP0002"
 _BUCKET_BITS, _SYMBOL_BITS = 18, 22
 _NONE = np.iinfo(np.int64).max
-#: ``k`` with ``2**(k - 1) <= count < 2**k`` (the largest pairs share the last one).
-_SIZE = np.frexp(np.arange((1 << 20) + 1))[1].astype(np.int8)
+#: ``k`` with ``4**(k - 1) <= count < 4**k`` (the largest pairs share the last one).
+_SIZE = ((np.frexp(np.arange((1 << 20) + 1))[1] + 1) // 2).astype(np.int8)
 _U = np.uint64
 
 
 class _Pool:
-    """Places of pairs that wait for their turn, by the power of two below their pair's count."""
+    """Places of pairs that wait for their turn, by the power of four below their pair's count."""
 
     def __init__(self):
         self.waiting: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -116,7 +117,7 @@ def compress(ids: np.ndarray, last: np.ndarray, first_rule: int, least: int = LE
     """Re-Pair over ``ids``; ``last`` marks final symbols of documents.
 
     Returns the rules (n x 2), how many each step made, the symbols left and their ``last`` marks.  Pairs take
-    their turns by falling count: a step replaces all pairs whose count lies between one power of two and the next,
+    their turns by falling count: a step replaces all pairs whose count lies between one power of four and the next,
     the more frequent of two overlapping ones first.  Counts are kept current (a pair's places come into being
     when the later of its symbols does, and are checked again when its turn comes), and steps go on until no pair
     occurs ``least`` times.
@@ -143,7 +144,7 @@ def compress(ids: np.ndarray, last: np.ndarray, first_rule: int, least: int = LE
         places, codes = places[ok], codes[ok]
         ok = (symbols[places].astype(_U) << _U(_SYMBOL_BITS) | symbols[after[places]]) == codes
         codes, places, counts = _runs(codes[ok], places[ok], least)
-        now = counts >= 1 << (size - 1)
+        now = counts >= 1 << (2 * (size - 1))
         if not now.all():
             pool.add(codes[~now], places[~now], counts[~now])
             codes, places, counts = codes[now], places[now], counts[now]
@@ -160,7 +161,7 @@ def compress(ids: np.ndarray, last: np.ndarray, first_rule: int, least: int = LE
         used = np.bincount(kind, minlength=len(begins))
         # a pair that lost its places to more frequent ones waits with those that are left
         lost = ~(used >= least)[rank]
-        fewer = np.minimum(counts[lost], (1 << (size - 1)) - 1)
+        fewer = np.minimum(counts[lost], (1 << (2 * (size - 1))) - 1)
         again = fewer >= least
         pool.add(codes[lost][again], places[lost][again], fewer[again])
         kept = np.flatnonzero(used >= least)
@@ -223,7 +224,7 @@ def expansions(rules: np.ndarray, lengths: np.ndarray, steps: list[int], first_r
 
 
 def encode_file(doc_ids: list[int | None], documents: list[np.ndarray], first_rule: int) -> bytes:
-    """One file's bytes from its documents' ids (each at least one id long)."""
+    """One section's bytes from its documents' ids (each at least one id long)."""
     counts = np.array([len(d) for d in documents], dtype=np.uint64)
     ids = np.concatenate(documents).astype(np.uint32)
     last = np.zeros(len(ids), dtype=bool)
@@ -250,7 +251,7 @@ def encode_file(doc_ids: list[int | None], documents: list[np.ndarray], first_ru
 
 
 class TokenFile:
-    """Random access to one file's documents."""
+    """Random access to one section's documents."""
 
     def __init__(self, data: bytes):
         if data[:8] != _MAGIC:
@@ -276,7 +277,7 @@ class TokenFile:
         return _spans(self._flat, self._begin[symbols], self._size[symbols])
 
     def document(self, k: int) -> np.ndarray:
-        """Ids of the file's k-th document, from its own symbols."""
+        """Ids of the section's k-th document, from its own symbols."""
         return self._expand(self.symbols[self.first[k] : self.first[k + 1]])
 
     def documents(self) -> Iterator[tuple[int | None, np.ndarray]]:
@@ -300,31 +301,50 @@ def _token_batches(path: str, end_id: int):
     return run
 
 
+_INDEX = "shard int, seq int, path string, offset long, size long, docs long, ids long"
+_INDEX_TYPES = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+
+
 def _file_batches(folder: str, first_rule: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         docs: list = []
         ids: list[np.ndarray] = []
-        held, shard, seq = 0, None, 0
+        sections: list[bytes] = []
+        rows: list[tuple] = []
+        held, shard, seq, size, filled = 0, None, 0, 0, 0
+
+        def section() -> None:
+            nonlocal docs, ids, held, seq, size, filled
+            data = encode_file(docs, ids, first_rule)
+            rows.append((shard, seq, size, len(data), len(docs), held))
+            sections.append(data)
+            size, filled = size + len(data), filled + held
+            docs, ids, held, seq = [], [], 0, seq + 1
 
         def close() -> pa.RecordBatch:
-            uri = f"{folder}/part-{shard:06d}-{seq:06d}.rp"
-            store.publish(uri, encode_file(docs, ids, first_rule))
-            row = [[shard], [seq], [uri], [len(docs)], [held]]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["shard", "seq", "path", "docs", "ids"])
+            nonlocal sections, rows, size, filled
+            uri = f"{folder}/part-{shard:06d}-{rows[0][1]:06d}.rp"
+            store.publish(uri, b"".join(sections))
+            columns = zip(*((r[0], r[1], uri, *r[2:]) for r in rows), strict=True)
+            sections, rows, size, filled = [], [], 0, 0
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _INDEX_TYPES, strict=True)], names=[c.split()[0] for c in _INDEX.split(", ")])
 
         for batch in batches:
             for doc, data, where in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 own = np.frombuffer(data, dtype=kind)
-                if docs and (where != shard or held + len(own) > FILE_IDS):
+                if docs and (where != shard or held + len(own) > SECTION_IDS):
+                    section()
+                if rows and (where != shard or filled >= FILE_IDS):
                     yield close()
-                    docs, ids, held, seq = [], [], 0, seq + 1
                 if where != shard:
                     shard, seq = where, 0
                 docs.append(doc)
                 ids.append(own)
                 held += len(own)
         if docs:
+            section()
+        if rows:
             yield close()
 
     return run
@@ -333,7 +353,8 @@ def _file_batches(folder: str, first_rule: int, kind: str):
 def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the ids of all documents in ascending id order (null ids first; ties by ids) and return the index.
 
-    The index has one row a file: ``shard, seq, path, docs, ids, start`` (``start``: ids in all files before).
+    The index has one row a section: ``shard, seq, path, offset, size, docs, ids, start`` (``offset`` and ``size`` in
+    bytes of the file; ``start``: ids in all sections before).
     Null and empty texts have only the end id.  An empty table writes nothing.  Other columns are ignored.
     """
     spark = docs.sparkSession
@@ -344,7 +365,7 @@ def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | No
     ranges = id_ranges(rows, "doc_id", n)
     coded = rows.select("doc_id", "text", ranges.column("doc_id").alias("shard")).mapInArrow(_token_batches(path, end_id), "doc_id long, ids binary, shard int")
     ordered = coded.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "doc_id", "ids")
-    files = ordered.select("doc_id", "ids", "shard").mapInArrow(store.trimmed(_file_batches(folder, enc.tokenizer.get_vocab_size(with_added_tokens=True), enc.dtype.str)), "shard int, seq int, path string, docs long, ids long")
+    files = ordered.select("doc_id", "ids", "shard").mapInArrow(store.trimmed(_file_batches(folder, enc.tokenizer.get_vocab_size(with_added_tokens=True), enc.dtype.str)), _INDEX)
     files = store.materialise(files, "token-index")
     totals = {r["shard"]: r["t"] for r in files.groupBy("shard").agg(F.sum("ids").alias("t")).collect()}  # <= n rows
     before, offsets = 0, []
@@ -358,9 +379,9 @@ def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | No
 
 def _document_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for path, offset, size, start in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
             out: list[tuple] = []
-            for doc, ids in TokenFile(store.fetch(path)).documents():
+            for doc, ids in TokenFile(store.fetch(path, offset, size)).documents():
                 out.append((doc, start, len(ids), zlib.crc32(ids)))
                 start += len(ids)
             columns = zip(*out, strict=True)
@@ -368,7 +389,7 @@ def _document_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def read_tokens(index: DataFrame) -> DataFrame:
-    """Decode every file of an index: ``doc_id, start, n_tokens, ids_crc32`` (crc of the ids as u32, unsigned)."""
+    """Decode every section of an index: ``doc_id, start, n_tokens, ids_crc32`` (crc of the ids as u32, unsigned)."""
     n = store.partitions(index.sparkSession)
-    dealt = index.select("path", "start", "shard").repartitionById(n, F.col("shard"))
-    return dealt.select("path", "start").mapInArrow(store.trimmed(_document_batches), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    dealt = index.select("path", "offset", "size", "start", "shard").repartitionById(n, F.col("shard"))
+    return dealt.select("path", "offset", "size", "start").mapInArrow(store.trimmed(_document_batches), "doc_id long, start long, n_tokens long, ids_crc32 long")
