@@ -28,8 +28,9 @@ from opinara.llm.tokens import default_tokenizer, encoder
 
 CAPACITY = 2048
 END_ID = 0
-#: Fillings tried by one search for a plan (None: no limit); the best packing found stands when they are used up.
-BRANCHES = 50_000
+#: Work of one search for a plan (a filling that is looked at counts 1, a sequence that is opened 10; None: no limit);
+#: the best packing found stands when it is used up.
+BRANCHES = 60_000
 
 #: A pattern: how many sequences use it, and its lengths, largest first.
 Pattern = tuple[int, tuple[int, ...]]
@@ -123,9 +124,13 @@ def dominated(members: list[int], left: dict[int, int], lengths: list[int], wast
     return any(free & ((several << more) | (one << more if more else 0)) for more in range(waste + 1))
 
 
-def fillings(left: dict[int, int], lengths: list[int], room: int) -> Iterator[list[int]]:
+def fillings(left: dict[int, int], lengths: list[int], room: int, allowed: int) -> Iterator[list[int] | None]:
     """The undominated fillings of ``room`` from the lengths left (descending list, counts), least waste first.
 
+    Fillings that leave more than ``allowed`` are not looked for.
+
+    None stands for a dominated filling, so that a search can count what it looks at.
+
     A single length that fits exactly dominates every other filling.  Sums that cannot be made are never entered.
     """
     if left.get(room, 0) > 0:
@@ -141,19 +146,19 @@ def fillings(left: dict[int, int], lengths: list[int], room: int) -> Iterator[li
             return
         for k in range(i, len(lengths)):
             x = lengths[k]
-            if x > sum_ or not sums[k] >> sum_ & 1:
-                if not sums[k] >> sum_ & 1:
-                    return
+            if not sums[k] >> sum_ & 1:
+                return
+            if x > sum_:
                 continue
             for take in range(min(left[x], sum_ // x), 0, -1):
                 if sums[k + 1] >> (sum_ - x * take) & 1:
                     yield from exactly(k + 1, sum_ - x * take, chosen + [x] * take)
 
-    for waste in range(room + 1):
+    for waste in range(min(room, allowed) + 1):
         if sums[0] >> (room - waste) & 1:
             for members in exactly(0, room - waste, []):
-                if (waste or len(members) != 2) and not dominated(members, left, lengths, waste):
-                    yield members
+                fresh = (waste or len(members) != 2) and not dominated(members, left, lengths, waste)
+                yield members if fresh else None
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, branches: int | None = BRANCHES) -> list[Pattern]:
@@ -162,25 +167,31 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, branches: int | No
     Depth-first branch and bound: the largest length left opens a sequence, its undominated fillings are tried in
     turn, each at once for as many sequences as its counts allow, then for one only; a branch is cut when its
     waste rules out an improvement.  The search returns when its packing meets the lower bound, when everything
-    is tried, or after ``branches`` fillings (None: no limit, a proven optimum) with the best packing found.
+    is tried, or after work of ``branches`` (None: no limit, a proven optimum) with the best packing found.
     """
     incumbent = best_fit_decreasing(histogram, capacity)
     best, most = incumbent, sum(t for t, _ in incumbent)  # the first descent may equal the incumbent
     bound, total = lower_bound(histogram, capacity), sum(x * c for x, c in histogram.items())
     left = {x: c for x, c in histogram.items() if c > 0}
     trail: list[Pattern] = []
-    wasted = 0
+    wasted, work, done = 0, 0, object()
 
     def options() -> Iterator[tuple[int, tuple[int, ...], int]]:
+        nonlocal work
         lengths = sorted((x for x, c in left.items() if c > 0), reverse=True)
+        work += 10
         first = lengths[0]
         left[first] -= 1
         rest = [x for x in lengths if left[x] > 0 and x <= capacity - first]
-        found = fillings(left, rest, capacity - first)
+        found = fillings(left, rest, capacity - first, most * capacity - total - wasted)
         while True:
-            members = next(found, None)  # the filling is chosen without the opening piece
+            work += 1
+            members = next(found, done)  # the filling is chosen without the opening piece
+            while members is None and (branches is None or work < branches):
+                work += 1
+                members = next(found, done)
             left[first] += 1
-            if members is None:
+            if members is done or members is None:
                 return
             full = (first, *members)
             waste = capacity - sum(full)
@@ -196,7 +207,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, branches: int | No
             left[first] -= 1
 
     frames = [options()] if left else []
-    while frames and (branches is None or branches > 0):
+    while frames and (branches is None or work < branches):
         step = next(frames[-1], None)
         if step is None:
             frames.pop()
@@ -207,7 +218,6 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, branches: int | No
                 wasted -= times * (capacity - sum(members))
             continue
         times, members, waste = step
-        branches = None if branches is None else branches - 1
         for x, c in Counter(members).items():
             left[x] -= c * times
         trail.append((times, members))
