@@ -89,12 +89,13 @@ def _vector_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for components in batch.column(2).to_pylist():
             ok = components is not None and len(components) > 0 and None not in components
             vector = np.asarray(components, dtype=np.float64) + 0.0 if ok else np.empty(0)
-            with np.errstate(over="ignore", invalid="ignore"):
-                square = float((vector * vector).sum()) if ok else 0.0
-            if not ok or not np.isfinite(vector).all() or not vector.any() or not np.isfinite(square) or square == 0.0:
+            if not ok or not np.isfinite(vector).all() or not vector.any():
                 keys.append(None)
                 data.append(None)
                 continue
+            size = int(np.frexp(np.abs(vector).max())[1])
+            if abs(size) > 100:  # the cosine does not depend on it, but squares would leave the range of doubles
+                vector = np.ldexp(vector, -size)
             raw = vector.astype("<f8").tobytes()
             keys.append(hashlib.sha256(raw).digest()[:20])
             single = vector.astype("<f4")

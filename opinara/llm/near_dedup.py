@@ -40,6 +40,10 @@ THRESHOLD = 75
 SLACK = 14
 #: Signature agreement (percent) from which bucket members belong to one cluster; documents of a block.
 LOOSE, BLOCK = 25, 512
+#: Members of a bucket that are compared pair by pair; larger buckets are split by further slots (sub-bands of each level).
+HOT, SUB_BANDS, SUB_ROWS, LEVELS = 64, 6, 3, 4
+#: Set elements whose permutations are drawn at once (256 bytes each).
+SLICE = 1 << 17
 
 _U = np.uint64
 
@@ -47,8 +51,24 @@ _U = np.uint64
 def super_minhash(flat: np.ndarray, counts: np.ndarray, slots: int = SLOTS) -> np.ndarray:
     """Signatures (documents x slots, float64) of sets given end to end; an empty set's are infinite.
 
-    Equal sets have equal signatures; the share of equal slots estimates the Jaccard similarity.
+    Equal sets have equal signatures; the share of equal slots estimates the Jaccard similarity.  A signature is a
+    minimum over the elements, so sets are taken in slices of at most ``SLICE`` elements: memory is bounded.
     """
+    out = np.full((len(counts), slots), np.inf)
+    ends = np.cumsum(counts)
+    doc = at = 0
+    while at < len(flat):
+        doc = int(np.searchsorted(ends, at, "right"))
+        last = int(np.searchsorted(ends, at + SLICE, "right"))  # documents that end within the slice
+        stop = int(ends[last - 1]) if last > doc else min(int(ends[doc]), at + SLICE)
+        own = slice(doc, max(last, doc + 1))
+        sizes = np.minimum(ends[own], stop) - np.maximum(ends[own] - counts[own], at)
+        out[own] = np.minimum(out[own], _slice_minhash(flat[at:stop], sizes, slots))
+        at = stop
+    return out
+
+
+def _slice_minhash(flat: np.ndarray, counts: np.ndarray, slots: int) -> np.ndarray:
     docs = len(counts)
     out = np.full((docs, slots), np.inf)
     if not len(flat):
@@ -263,6 +283,30 @@ def _cluster_links(members: DataFrame, texts: DataFrame, words: int, threshold:
     return links.unionAll(store.materialise(second, "near-links"))
 
 
+def _small_buckets(named: DataFrame, reps: DataFrame) -> DataFrame:
+    """The members (``key, rep, cluster``) of buckets that hold several clusters, in buckets of at most HOT members.
+
+    Documents that share a long passage may meet in one bucket by the thousand although they are unlike.  Such a
+    bucket is split by SUB_BANDS keys of SUB_ROWS further slots each: two documents at the threshold lose a bucket
+    with probability 0.04 and all their (about twelve) buckets with 2e-6, unlike ones part.  What is still larger
+    after LEVELS splits is kept whole.
+    """
+    found = None
+    for level in range(LEVELS + 1):
+        sizes = named.groupBy("key").agg(F.count("*").alias("n"), F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo < hi")
+        sizes = store.materialise(sizes.select("key", "n"), "near-buckets")
+        keep = sizes if level == LEVELS else sizes.where(F.col("n") <= HOT)
+        part = named.join(keep.select("key"), "key")
+        found = part if found is None else found.unionAll(part)
+        hot = sizes.where(F.col("n") > HOT)
+        if level == LEVELS or hot.isEmpty():
+            return found
+        rows = named.join(hot.select("key"), "key").join(reps.select("rep", "sig"), "rep").withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(SUB_BANDS - 1))))
+        place = lambda i: F.pmod(F.xxhash64("key", "band", F.lit(i)), F.lit(SLOTS)).cast("int") + 1
+        picked = [F.substr("sig", place(i), F.lit(1)) for i in range(SUB_ROWS)]
+        named = store.materialise(rows.select(F.xxhash64("key", "band", *picked).alias("key"), "rep", "cluster"), "near-split")
+
+
 def near_duplicates(docs: DataFrame, words: int = shingles.WORDS, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", signer=super_minhash) -> DataFrame:
     """One row per document: ``doc_id long, n_shingles long, component_id long, kept boolean``.
 
@@ -296,9 +340,7 @@ def near_duplicates(docs: DataFrame, words: int = shingles.WORDS, threshold: int
     links = _cluster_links(clusters, near_texts, words, threshold)
 
     named = members.select("key", "rep").join(clusters, "rep", "left").select("key", "rep", F.coalesce("cluster", "rep").alias("cluster"))
-    named = store.materialise(named, "near-named")
-    mixed = named.groupBy("key").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo < hi").select("key")
-    apart = named.join(mixed, "key")
+    apart = _small_buckets(store.materialise(named, "near-named"), reps)
     right = apart.select("key", F.col("rep").alias("rep2"), F.col("cluster").alias("cluster2"))
     across = apart.join(right, "key").where("rep < rep2 AND cluster <> cluster2").select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
     across = _alike(across, reps, threshold - SLACK)
@@ -322,5 +364,8 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
 
     Rows with a null id stay.
     """
-    drop = near_duplicates(docs, **options).where("NOT kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(drop, F.col("doc_id").cast("long") == F.col("_dropped"), "left_anti")
+    name = "_dropped"
+    while name in docs.columns:
+        name += "_"
+    drop = near_duplicates(docs, **options).where("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(drop, docs[options.get("id_col", "doc_id")].cast("long") == drop[name], "left_anti")

@@ -15,6 +15,8 @@ import numpy as np
 WORDS = 5
 #: Bytes of text that are hashed at once (a longer document is hashed alone, whole).
 CHUNK_BYTES = 1 << 19
+#: Bytes of one text that are hashed at once.
+SLICE_BYTES = 1 << 22
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -78,15 +80,35 @@ def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in text order, and the document (index) of each."""
+    """Hashes of all words in text order, and the document (index) of each.
+
+    Long texts are read in slices of about ``SLICE_BYTES`` that end between words, so memory stays bounded.
+    """
     begin, end = int(offsets[0]), int(offsets[-1])
-    data = _LOWER[raw[begin:end]]
-    if not len(data):
-        return np.empty(0, _U), np.empty(0, np.int64)
-    at = offsets - begin
+    hashes, places = [np.empty(0, _U)], [np.empty(0, np.int64)]
+    while begin < end:
+        stop = min(end, begin + SLICE_BYTES)
+        while stop < end:  # to the next blank: a word is not cut
+            gap = np.flatnonzero(_SPACE[raw[stop : stop + 65536]])
+            if len(gap):
+                stop += int(gap[0])
+                break
+            stop = min(end, stop + 65536)
+        within = offsets[(offsets > begin) & (offsets < stop)] - begin
+        found, starts = _slice_hashes(raw[begin:stop], within)
+        hashes.append(found)
+        places.append(starts + begin)
+        begin = stop
+    return np.concatenate(hashes), np.searchsorted(offsets, np.concatenate(places), "right") - 1
+
+
+def _slice_hashes(raw: np.ndarray, within: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the words of some bytes; documents begin at the places ``within``."""
+    data = _LOWER[raw]
     inside = ~_SPACE[data]
     cut = np.zeros(len(data) + 1, dtype=bool)
-    cut[at] = True
+    cut[[0, len(data)]] = True
+    cut[within] = True
     before = np.empty(len(data), dtype=bool)
     before[0], before[1:] = False, inside[:-1]
     starts = np.flatnonzero(inside & (~before | cut[:-1]))
@@ -96,7 +118,7 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     up, down = _powers(max(16, int(len(data)).bit_length()))
     sums = np.zeros(len(data) + 1, dtype=_U)
     np.cumsum(_BYTE_VALUE[data] * up[: len(data)], dtype=_U, out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts]), np.searchsorted(at, starts, "right") - 1
+    return mix((sums[ends] - sums[starts]) * down[starts]), starts
 
 
 def shingle_hashes(raw: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:

@@ -171,8 +171,9 @@ def write_warc(pages: DataFrame, folder: str | None = None, min_bytes: int = 0,
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
-    # map-side combined; the join back may be split where one payload holds many rows
-    largest = rows.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("top"))
+    # only payloads that repeat matter: a thin table, made from ids and digests, that Spark broadcasts while it is small
+    groups = rows.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n"))
+    largest = store.materialise(groups.where("n > 1").select("digest", "top"), "warc-repeats", thin=True)
     told = rows.join(largest, "digest", "left").select("page_id", "url", "html", F.when(F.col("page_id") < F.col("top"), F.col("top")).alias("refers_to"))
     return store.materialise(told.mapInArrow(_write_batches(folder), _INDEX), "warc-index")
 

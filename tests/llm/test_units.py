@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -47,6 +48,19 @@ def test_signatures_estimate_similarity(signer):
     assert max(map(abs, errors)) < 0.15 and abs(np.mean(errors)) < 0.03
 
 
+def test_long_texts_are_hashed_in_slices(monkeypatch):
+    rng = random.Random(7)
+    texts = TEXTS + [" ".join(rng.choice(["al", "Be", "ga", "dé", "x" * 90]) + str(rng.randrange(9)) for _ in range(k)) for k in (3, 400, 5, 900)] + ["y" * 3000]
+    sets, flat, counts = sets_of(texts)
+    sig = near_dedup.super_minhash(flat, counts)
+    for size in (16, 100, 1000):
+        monkeypatch.setattr(shingles, "SLICE_BYTES", size)
+        monkeypatch.setattr(near_dedup, "SLICE", size)
+        again, flat2, counts2 = sets_of(texts)
+        assert [s.tolist() for s in again] == [s.tolist() for s in sets]
+        assert (near_dedup.super_minhash(flat2, counts2) == sig).all()
+
+
 def test_super_minhash_of_edges():
     _, flat, counts = sets_of(TEXTS)
     sig = near_dedup.super_minhash(flat, counts)
@@ -121,12 +135,37 @@ def test_packing_plans():
     assert packing.plan({}, 10) == []
     # best fit decreasing needs three sequences here, bin completion two
     assert sum(t for t, _ in packing.plan({6: 1, 5: 2, 2: 2, 4: 0, 1: 0}, 10)) == 2
-    # exact on small cases
+    # a proven optimum on small cases, with and without a bound on the work
     for _ in range(40):
-        sizes = [rng.randrange(1, 10) for _ in range(7)]
-        best = min(_bins(p, 10) for p in itertools.permutations(sizes))
+        cap = rng.choice([10, 20, 50])
+        sizes = [rng.randrange(1, cap) for _ in range(7)]
+        best = min(_bins(p, cap) for p in itertools.permutations(sizes))
         histogram = {x: sizes.count(x) for x in sizes}
-        assert sum(t for t, _ in packing.plan(histogram, 10)) <= best + 0.5
+        assert packing.lower_bound(histogram, cap) <= best
+        assert {sum(t for t, _ in packing.plan(histogram, cap, work)) for work in (None, packing.BRANCHES)} == {best}
+
+
+def test_bin_completion_beats_its_incumbent():
+    rng = random.Random(6)
+    better = 0
+    for _ in range(60):
+        cap = rng.choice([100, 200])
+        histogram = {rng.randrange(cap // 5, cap // 2 + 10): rng.randrange(1, 30) for _ in range(rng.randrange(8, 25))}
+        used, incumbent = (sum(t for t, _ in p) for p in (packing.plan(histogram, cap), packing.best_fit_decreasing(histogram, cap)))
+        assert packing.lower_bound(histogram, cap) <= used <= incumbent
+        better += used < incumbent
+    assert better >= 10
+
+
+def test_dominated_fillings_are_left_out():
+    left = {6: 1, 4: 2, 3: 2, 2: 1, 1: 1}
+    lengths = sorted(left, reverse=True)
+    assert packing.dominated([4, 2], left, lengths, 0) and packing.dominated([3, 3], left, lengths, 0)  # 6 fills alike
+    assert not packing.dominated([6], left, lengths, 0) and not packing.dominated([4, 3], left, [4, 3, 2, 1], 0)
+    assert packing.dominated([4], {4: 1, 3: 0, 5: 1}, [5, 4], 1) and not packing.dominated([4], {4: 1, 5: 1}, [5, 4], 0)
+    assert list(packing.fillings(left, lengths, 6, 6)) == [[6]]
+    found = [f for f in packing.fillings({4: 1, 3: 1, 2: 1}, [4, 3, 2], 8, 1) if f is not None]
+    assert found == [[4, 3]]  # nothing makes 8
 
 
 def _bins(sizes, cap):
@@ -138,16 +177,32 @@ def _bins(sizes, cap):
     return n
 
 
-def test_schedule_is_pfair():
-    for weights in ({"a": 1}, {"a": 5, "b": 3, "c": 1}, {str(k): k + 1 for k in range(40)}):
-        shares = mixing.whole_slots(weights, 360)
-        period = sum(shares.values())
-        order, seen = mixing.schedule(shares), dict.fromkeys(shares, 0)
-        assert len(order) == period and min(shares.values()) >= 1
-        for t, (s, k) in enumerate(order):
-            assert k == seen[s] and mixing.release(k, shares[s], period) <= t < mixing.deadline(k, shares[s], period)
-            seen[s] += 1
-            assert all(abs(n - (t + 1) * shares[x] / period) < 1 for x, n in seen.items())
+@pytest.mark.parametrize("weights", [{"a": 1}, {"a": 0.9, "b": 0.05, "c": 0.05}, {"a": 0.33349, "b": 0.33301, "c": 0.33350}, {"big": 0.98} | {f"s{k}": 0.001 for k in range(20)}, {"half": 0.5} | {f"s{k}": Fraction(1, 600) for k in range(300)}, {str(k): k + 1 for k in range(40)}, {"a": 1 / 3, "b": 2 / 3}])
+def test_schedule_is_pfair(weights):
+    shares = mixing.exact_slots(weights)
+    period, total = sum(shares.values()), sum(map(mixing._exact, weights.values()))
+    assert {s: Fraction(p, period) for s, p in shares.items()} == {s: mixing._exact(w) / total for s, w in weights.items()}
+    order = mixing.schedule(shares)
+    assert len(order) == period
+    # a million slots: whatever the period, no source is a block away from its exact target
+    names = {s: i for i, s in enumerate(shares)}
+    one = np.array([names[s] for s, _ in order])
+    turns = min(1 + 10**6 // period, 10**7 // (period * len(names)) + 1)
+    slots = np.tile(one, turns)
+    for s, p in shares.items():
+        done = np.cumsum(slots == names[s])
+        # |done - (t + 1) * p / period| < 1 in whole numbers
+        assert (np.abs(done * period - np.arange(1, len(slots) + 1) * p) < period).all()
+        k = done[slots == names[s]] - 1
+        at = np.flatnonzero(slots == names[s])
+        assert (k * period // p <= at).all() and (at < -(-(k + 1) * period // p)).all()
+
+
+def test_weights_that_never_repeat_are_refused():
+    with pytest.raises(ValueError, match="denominator"):
+        mixing.target_slots({"a": 5, "b": 5}, {"a": 2**0.5, "b": 3**0.5})
+    assert mixing.target_slots({"a": 9, "b": 9, "new": 1}, {"a": 3, "b": 1}) == {"a": 3, "b": 1, "new": 1}
+    assert sum(mixing.target_slots({"a": 100, "b": 1}, None).values()) == 1000
 
 
 def test_bundles():
@@ -178,13 +233,16 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</scri
 
 
 def test_extraction():
-    assert html_template.extract(PAGE, {}) == "A & B\nFirst line.\nSecond <b> xé\none\ntwo"
-    assert html_template.extract(None, {}) == html_template.extract("", {}) == "" == html_template.extract("<html><nav>x", {})
-    assert html_template.extract("just < text & more", {}) == "just < text & more"
-    assert html_template.extract("<body><div class=menu>m</div><div><p>Para one.</p><p>Para two.</p></div></body>", {}) == "Para one.\nPara two."
-    drop = {"text": [html_template.text_key("/body/div", "Same on all pages")]}
-    assert html_template.extract("<body><div>Same on all pages</div><p>Own</p></body>", drop) == "Own"
-    html_template.extract("<p " + "a='" * 500 + "<div>" * 500, {})
+    plain = html_template.Template()
+    assert html_template.extract(PAGE, plain) == "A & B\nFirst line.\nSecond <b> xé\none\ntwo"
+    assert html_template.extract(None, plain) == html_template.extract("", plain) == "" == html_template.extract("<html><nav>x", plain)
+    assert html_template.extract("just < text & more", plain) == "just < text & more"
+    assert html_template.extract("<body><div class=menu>m</div><div><p>Para one.</p><p>Para two.</p></div></body>", plain) == "Para one.\nPara two."
+    body = html_template._key(html_template._ROOT, "body")
+    same = html_template.text_key(html_template._key(body, "div"), "Same on all pages")
+    told = html_template.Template({"classes": [{"tags": [body], "texts": [same]}]})
+    assert html_template.extract("<body><div>Same on all pages</div><p>Own</p></body>", told) == "Own"
+    html_template.extract("<p " + "a='" * 500 + "<div>" * 500, plain)
 
 
 def test_urls():
