@@ -71,7 +71,7 @@ def manifest(products: DataFrame, reviews: DataFrame) -> DataFrame:
 
 def gold_sample(mentions: DataFrame, n: int = 200, seed: int = 42) -> DataFrame:
     """About n rows, a third of each sentiment, chosen by hash (the same on every run)."""
-    order = F.xxhash64("sentence_id", "aspect", F.lit(seed))
+    order = F.md5(F.concat_ws("|", "sentence_id", "aspect", F.lit(seed)).cast("binary"))
     per = Window.partitionBy("sentiment").orderBy(order, "sentence_id", "aspect")
     picked = mentions.withColumn("_r", F.row_number().over(per)).where(F.col("_r") <= max(1, n // 3)).drop("_r")
     return picked.orderBy(order, "sentence_id", "aspect").limit(n)

@@ -44,13 +44,21 @@ def test_hash_ignores_case_and_marks(spark):
     assert h("Battery lasts two days.") == h("battery   lasts two DAYS!!") != h("Camera is poor.")
 
 
-def test_segmentation():
-    assert len(segmenting.segment("The battery is great. Camera is poor. The screen is very bright.")) == 3
-    assert segmenting.segment("The 6.7 inch display is great. I paid 1,199.99 for it.") == ["The 6.7 inch display is great.", "I paid 1,199.99 for it."]
-    assert segmenting.segment("Nice. The battery lasts two days.") == ["Nice. The battery lasts two days."]
-    assert segmenting.segment(None) == [] == segmenting.segment("  ")
-    long = "word " * 60 + "but " + "other " * 60
-    assert all(len(s) <= 320 for s in segmenting.segment(long)[:1]) and len(segmenting.segment(long)) == 2
+def cut(spark, text, **options):
+    return one(spark, text, lambda c: segmenting.sentences(c, **options))
+
+
+def test_segmentation(spark):
+    assert cut(spark, "Calls are clear here. Rain did no harm at all! Is the lid too stiff for you?") == ["Calls are clear here.", "Rain did no harm at all!", "Is the lid too stiff for you?"]
+    assert cut(spark, "It weighs 0.8 kilos, i.e. not much. Then Dr. Moss paid 2,450.75 for it.") == ["It weighs 0.8 kilos, i.e. not much.", "Then dr. Moss paid 2,450.75 for it."]
+    assert cut(spark, "Fine. It came with two spare lids. Ok!") == ["Fine. It came with two spare lids. Ok!"]
+    assert cut(spark, "Fine. It came with two spare lids. Ok!", merge=False) == ["Fine.", "It came with two spare lids.", "Ok!"]
+    assert cut(spark, None) == [] == cut(spark, " \n ")
+    long = "pine " * 50 + "yet " + "cedar " * 40
+    assert cut(spark, long) == [("pine " * 50).strip(), ("cedar " * 40).strip()]
+    commas = ", ".join(["a piece of some length"] * 40)
+    assert all(len(s) <= 320 for s in cut(spark, commas)) and ", ".join(cut(spark, commas)) == commas
+    assert cut(spark, "one|two of them here|x", splitter=lambda t: t.split("|")) == ["one two of them here"]
 
 
 def test_lexicon_sizes():
