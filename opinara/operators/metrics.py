@@ -98,6 +98,19 @@ def feedback_summary(items: DataFrame) -> DataFrame:
     )
 
 
+def session_stats(items: DataFrame, high: int = 4) -> DataFrame:
+    """Per session: rated items, their mean (2 places) and how many are rated ``high`` or more."""
+    return items.groupBy("session_id").agg(F.count("*").alias("items"), F.round(F.avg("satisfaction"), 2).alias("mean"), F.count_if(F.col("satisfaction") >= high).alias("high"))
+
+
+def ranking_quality(ndcg: DataFrame, rho: DataFrame) -> DataFrame:
+    """One row over all sessions: mean NDCG and Spearman (4 places), the sessions behind them, and the band of the former."""
+    mean = ndcg.agg(F.round(F.avg("ndcg"), 4).alias("mean_ndcg"), F.count("ndcg").alias("ndcg_sessions"))
+    other = rho.agg(F.round(F.avg("spearman"), 4).alias("mean_spearman"), F.count("spearman").alias("spearman_sessions"))
+    band = F.when(F.col("mean_ndcg") >= 0.85, "strong").when(F.col("mean_ndcg") >= 0.6, "moderate").when(F.col("mean_ndcg").isNotNull(), "weak").otherwise("none yet")
+    return mean.crossJoin(F.broadcast(other)).withColumn("note", band)
+
+
 def method_slices(sessions: DataFrame, ndcg: DataFrame) -> DataFrame:
     """``sessions``: session_id, ranking_method, satisfaction.  A null method counts as weighted."""
     joined = sessions.join(ndcg, "session_id", "left")

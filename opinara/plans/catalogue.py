@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opinara.plans import parsed, relational, textual
+from opinara.plans import parsed, relational, textual, workflow
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return relational.QUERIES | textual.QUERIES | parsed.QUERIES
+    return relational.QUERIES | textual.QUERIES | parsed.QUERIES | workflow.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return relational.ORACLES | textual.ORACLES | parsed.ORACLES
+    return relational.ORACLES | textual.ORACLES | parsed.ORACLES | workflow.ORACLES

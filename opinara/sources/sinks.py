@@ -1,15 +1,11 @@
-"""Writers: stage tables, JSON lines, small CSV packs."""
+"""Writers: stage tables, JSON lines, CSV packs, reports; all by executors."""
 
 from __future__ import annotations
 
 import json
-import os
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame
-
-#: Rows of one CSV of an export pack that may pass through the driver; larger tables are written by executors.
-PACK_ROWS = 100_000
+from pyspark.sql import DataFrame, SparkSession
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -32,21 +28,22 @@ def jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def pack(tables: dict[str, DataFrame], folder: str, stamped: bool = True) -> dict[str, str]:
-    """One CSV a table (UTF-8 with a byte-order mark) in a dated folder; large tables as CSV folders."""
-    target = os.path.join(folder, datetime.now(UTC).strftime("%Y%m%d_%H%M%S")) if stamped else folder
-    os.makedirs(target, exist_ok=True)
+def pack(tables: dict[str, DataFrame], folder: str, stamped: bool = True, files: int | None = None) -> dict[str, str]:
+    """One folder of CSV files a table (header, UTF-8 with a byte-order mark) in a dated folder, written by executors.
+
+    ``files``: so many files a table (1 for small packs that a spreadsheet opens).
+    """
+    target = f"{folder.rstrip('/')}/{datetime.now(UTC).strftime('%Y%m%d_%H%M%S')}" if stamped else folder.rstrip("/")
     out = {}
     for name, df in tables.items():
-        out[name] = path = os.path.join(target, f"{name}.csv")
-        head = df.limit(PACK_ROWS + 1).toPandas()
-        if len(head) <= PACK_ROWS:
-            head.to_csv(path, index=False, encoding="utf-8-sig")
-        else:
-            df.write.mode("overwrite").option("header", True).csv(path)
+        out[name] = path = f"{target}/{name}.csv"
+        # the mark stands before the header, which starts every file
+        marked = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
+        (marked.coalesce(files) if files else marked).write.mode("overwrite").option("header", True).csv(path)
     return out
 
 
-def report(value: dict, path: str) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(value, f, ensure_ascii=False, indent=2)
+def report(spark: SparkSession, value: dict, path: str) -> None:
+    """A small report as one JSON document."""
+    text = json.dumps(value, ensure_ascii=False, indent=2, default=str)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
