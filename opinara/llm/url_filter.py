@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import pickle
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 #: At most so many labelled urls are used for training, by hash.
 SAMPLE_URLS = 8000
 TREES, DEPTH, RATE, BINS = 60, 3, 0.2, 32
+#: Parts of the training urls whose statistics come from the others.
+FOLDS = 5
 #: A url is blocked from this probability on.
 CUT = 0.5
 
@@ -159,19 +162,19 @@ def train(urls: list[str | None], block: list[int]) -> Boosted:
         return model
     model.prior = float((y.sum() + 1) / (len(y) + 2))
     model.base = float(np.log(model.prior / (1 - model.prior)))
-    totals: dict[str, list[float]] = {}
+    totals: dict[str, np.ndarray] = {}  # blocked and all urls, by fold
     keys = [_statistics(u) for u in urls]
-    for parts, label in zip(keys, y, strict=True):
+    folds = [zlib.crc32((u or "").encode("utf-8", "surrogatepass")) % FOLDS for u in urls]
+    for parts, label, fold in zip(keys, y, folds, strict=True):
         for s in parts:
-            one = totals.setdefault(s, [0.0, 0.0])
-            one[0] += label
-            one[1] += 1
-    smooth = lambda hit, n: (hit + 8 * model.prior) / (n + 8)
-    model.rates = {s: smooth(*t) for s, t in totals.items()}
+            totals.setdefault(s, np.zeros((FOLDS, 2)))[fold] += (label, 1)
+    smooth = lambda t: float((t[0] + 8 * model.prior) / (t[1] + 8))
+    model.rates = {s: smooth(t.sum(axis=0)) for s, t in totals.items()}
     if y.min() == y.max():
         return model
-    # a url's own label is left out of its statistics while training
-    own = [{s: smooth(totals[s][0] - label, totals[s][1] - 1) for s in parts} for parts, label in zip(keys, y, strict=True)]
+    # while training, a url's statistics come from the other folds: its own label, or the lack of it, tells nothing
+    apart = {s: [smooth(t.sum(axis=0) - t[f]) for f in range(FOLDS)] for s, t in totals.items()}
+    own = [{s: apart[s][fold] for s in parts} for parts, fold in zip(keys, folds, strict=True)]
     x = model.features(urls, own)
     model.edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(x.shape[1])]
     bins, raw = model._bins(x), np.full(len(y), model.base)
