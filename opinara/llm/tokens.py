@@ -45,6 +45,8 @@ class ChunkIds(dict):
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.model = self.tokenizer.model
         self.direct = False
+        #: Whether the text at hand is in lower-case Latin-1.
+        self.plain = False
         self.marks = {m: self._full(m) for m in _MARKS}
         self.words = self._word_path_is_exact()
         self.direct = self.words and self._model_path_is_exact()
@@ -73,6 +75,11 @@ class ChunkIds(dict):
             return False
 
     def __missing__(self, chunk: str) -> bytes:
+        if self.plain and self.direct and chunk.isalpha():
+            if len(self) >= self.limit:
+                self.clear()
+            got = self[chunk] = self._model(chunk)
+            return got
         if not self.words or not chunk:
             return self._keep(chunk, self._full(chunk))
         word, tail = (chunk, b"") if chunk.isalpha() else (chunk[:-1], self.marks.get(chunk[-1]))
@@ -100,10 +107,11 @@ class ChunkIds(dict):
             return b""
         if not self.words:
             return self._full(text)
+        self.plain = False
         if self.folds:
             try:
                 text.encode("latin-1")
-                text = text.lower()  # fewer different chunks
+                text, self.plain = text.lower(), True  # fewer different chunks
             except UnicodeEncodeError:
                 pass
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
