@@ -54,7 +54,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder; what a stage wrote for itself goes once its result is a table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = len(store.held(spark))
     for name, stage in STAGES[:-1]:
         docs = store.materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        store.drop_scratch(spark, keep=before, last=1)
     return STAGES[-1][1](spark, docs, sf_dir)
