@@ -8,8 +8,8 @@ import json
 from pyspark.sql import SparkSession
 
 from opinara.config import EngineConfig
-from opinara.operators import corpus, pipeline, ranking, scores
-from opinara.sources import files, mappers, sinks
+from opinara.operators import corpus, pipeline, ranking, scores, workflow
+from opinara.sources import demo, files, mappers, sinks
 
 
 def _session() -> SparkSession:
@@ -48,6 +48,46 @@ def recommend(spark: SparkSession, store: str, weights: dict[str, float], top: i
     return ranking.recommend(products, vectors, CORE, weights, method, top)
 
 
+def seed_demo(spark: SparkSession, store: str, per_product: int) -> None:
+    """Fill an empty store with the synthetic corpus."""
+    sinks.replace(demo.products(spark), f"{store}/products")
+    sinks.replace(pipeline.clean_reviews(demo.reviews(spark, per_product)), f"{store}/reviews")
+
+
+def _tables(spark: SparkSession, store: str) -> dict:
+    return {name: spark.read.parquet(f"{store}/{name}") for name in ("products", "reviews", "sentences", "mentions", "scores")}
+
+
+def _reviewed(tables: dict) -> dict:
+    """Reviews with every column of the engine's review table, products with a name."""
+    kinds = {"is_duplicate": "boolean", "processed_at": "timestamp", "excluded_reason": "string"}
+    reviews = workflow.evolved(tables["reviews"], kinds).withColumn("is_duplicate", corpus.F.coalesce("is_duplicate", corpus.F.lit(False)))
+    products = tables["products"].withColumn("name", corpus.F.col("raw_title"))
+    return tables | {"reviews": reviews, "products": products}
+
+
+def status(spark: SparkSession, store: str):
+    t = _reviewed(_tables(spark, store))
+    return workflow.stage_counts(t["products"], t["reviews"], t["sentences"], t["mentions"], t["scores"])
+
+
+def evidence(spark: SparkSession, store: str, folder: str) -> dict[str, str]:
+    t = _reviewed(_tables(spark, store))
+    return sinks.pack(workflow.evidence(t["reviews"], t["products"], t["sentences"], t["mentions"], t["scores"]), folder, stamped=False, files=1)
+
+
+def export(spark: SparkSession, store: str, folder: str) -> dict[str, str]:
+    return sinks.pack({name: workflow.export_table(name, df) for name, df in _reviewed(_tables(spark, store)).items()}, folder)
+
+
+def purge(spark: SparkSession, store: str, source: str) -> None:
+    """Delete the products of a source and everything that hangs on them."""
+    tables = _tables(spark, store)
+    gone = tables["products"].where(corpus.F.col("source") == source).select("product_id")
+    for name in ("scores", "mentions", "sentences", "reviews", "products"):  # the products last: they name what goes
+        sinks.replace(corpus.cascade_delete(tables[name], gone), f"{store}/{name}")
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="opinara")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -65,9 +105,18 @@ def main(argv: list[str] | None = None) -> None:
     a.add_argument("--weights", type=json.loads, default={})
     a.add_argument("--top", type=int, default=10)
     a.add_argument("--method", choices=("weighted", "star_rating"), default="weighted")
-    a = commands.add_parser("export")
+    for name in ("export", "evidence"):
+        a = commands.add_parser(name)
+        a.add_argument("store")
+        a.add_argument("folder")
+    a = commands.add_parser("seed-demo")
+    a.add_argument("store")
+    a.add_argument("--per-product", type=int, default=60)
+    a = commands.add_parser("status")
+    a.add_argument("store")
+    a = commands.add_parser("purge")
     a.add_argument("store")
-    a.add_argument("folder")
+    a.add_argument("--source", default="demo")
     args = parser.parse_args(argv)
     spark = _session()
     if args.command == "ingest-csv":
@@ -76,9 +125,15 @@ def main(argv: list[str] | None = None) -> None:
         analyse(spark, args.store, EngineConfig(aspect_set=args.aspects))
     elif args.command == "recommend":
         recommend(spark, args.store, args.weights, args.top, args.method).show(args.top, truncate=False)
+    elif args.command == "seed-demo":
+        seed_demo(spark, args.store, args.per_product)
+    elif args.command == "status":
+        status(spark, args.store).show(truncate=False)
+    elif args.command == "purge":
+        purge(spark, args.store, args.source)
     else:
-        tables = {name: spark.read.parquet(f"{args.store}/{name}") for name in ("reviews", "sentences", "mentions", "scores")}
-        print(json.dumps(sinks.pack(tables, args.folder), indent=2))
+        write = export if args.command == "export" else evidence
+        print(json.dumps(write(spark, args.store, args.folder), indent=2))
 
 
 if __name__ == "__main__":

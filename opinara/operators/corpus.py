@@ -89,8 +89,15 @@ def new_reviews(incoming: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def upsert_products(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], text: Sequence[str], numbers: Sequence[str]) -> DataFrame:
-    """A new non-empty text or non-null number replaces the stored value; unknown keys are added."""
-    old, new = stored.alias("o"), incoming.alias("n")
+    """A new non-empty text or non-null number replaces the stored value; unknown keys are added.
+
+    Rows of one key in a batch are merged first, a later non-empty value before an earlier one (in row order).
+    """
+    values = [F.nullif(F.col(c), F.lit("")).alias(c) for c in text] + [F.col(c) for c in numbers]
+    ordered = incoming.select(*keys, *values, F.monotonically_increasing_id().alias("_n"))
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_n"))).alias(c)
+    merged = ordered.groupBy(*keys).agg(*(last(c) for c in (*text, *numbers)))
+    old, new = stored.alias("o"), merged.alias("n")
     match = F.lit(True)
     for k in keys:
         match = match & (F.col(f"o.{k}") == F.col(f"n.{k}"))

@@ -26,12 +26,24 @@ def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: The stored keys lie in so many folders by hash: a batch reads those that its own keys fall into.
+BUCKETS = 64
+
+
 def ingest_batch(batch: DataFrame, number: int, store: str, cfg: EngineConfig = EngineConfig(), make: Callable[[], annotating.Engine] | None = None) -> None:
     spark = batch.sparkSession
-    known = _stored(spark, f"{store}/reviews", "product_id long, content_hash string, batch long").where(F.col("batch") != number)
-    cleaned = pipeline.clean_reviews(batch, cfg).join(known.select("product_id", "content_hash"), ["product_id", "content_hash"], "left_anti")
-    cleaned.write.mode("overwrite").parquet(f"{store}/reviews/batch={number}")
-    made = pipeline.analyse(spark.read.parquet(f"{store}/reviews/batch={number}"), cfg, make, stop_after="mentions")
+    staged = f"{store}/staged/batch={number}"
+    pipeline.clean_reviews(batch, cfg).withColumn("bucket", F.pmod(F.xxhash64("product_id", "content_hash"), F.lit(BUCKETS)).cast("int")).write.mode("overwrite").parquet(staged)
+    cleaned = spark.read.parquet(staged)
+    touched = [r["bucket"] for r in cleaned.select("bucket").distinct().collect()]  # at most BUCKETS
+    known = _stored(spark, f"{store}/keys", "product_id long, content_hash string, batch long, bucket int")
+    known = known.where((F.col("batch") != number) & F.col("bucket").isin(*touched)).select("product_id", "content_hash")
+    fresh = cleaned.join(known, ["product_id", "content_hash"], "left_anti")
+    fresh.drop("bucket").write.mode("overwrite").parquet(f"{store}/reviews/batch={number}")
+    stored = spark.read.parquet(f"{store}/reviews/batch={number}")
+    keys = stored.select("product_id", "content_hash", F.pmod(F.xxhash64("product_id", "content_hash"), F.lit(BUCKETS)).cast("int").alias("bucket"))
+    keys.write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/keys/batch={number}")
+    made = pipeline.analyse(stored, cfg, make, stop_after="mentions")
     made.mentions.write.mode("overwrite").parquet(f"{store}/mentions/batch={number}")
 
 

@@ -1,7 +1,13 @@
+import threading
+import time
+
 from pyspark.sql import functions as F
 
-from opinara.operators import corpus, metrics, pipeline, ranking, scores
-from opinara.sources import files, mappers, pages, sinks
+from opinara import cli
+from opinara.config import EngineConfig
+from opinara.operators import corpus, metrics, pipeline, ranking, scores, workflow
+from opinara.sources import demo, files, mappers, pages, sinks
+from opinara.streaming import jobs
 from opinara.streaming import reviews as stream
 
 
@@ -48,6 +54,8 @@ def test_upsert_and_ingest_are_idempotent(spark):
     once = corpus.upsert_products(old, new, ["source", "id"], ["title"], ["price"])
     twice = corpus.upsert_products(once, new, ["source", "id"], ["title"], ["price"])
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect())) == [("s", "1", "Old", 5.0), ("s", "2", "Keep", 6.0), ("s", "3", "New", 1.0)]
+    twice_told = spark.createDataFrame([("s", "1", "First", 7.0), ("s", "1", "", 8.0), ("s", "4", "A", None), ("s", "4", "B", None)], kind).coalesce(1)
+    assert sorted(map(tuple, corpus.upsert_products(old, twice_told, ["source", "id"], ["title"], ["price"]).collect())) == [("s", "1", "First", 8.0), ("s", "2", "Keep", 6.0), ("s", "4", "B", None)]
     seen = spark.createDataFrame([(1, "h1", 1), (1, "h1", 2), (1, "h2", 3)], "product_id int, content_hash string, arrival int")
     fresh = corpus.new_reviews(seen, spark.createDataFrame([(1, "h2")], "product_id int, content_hash string"))
     assert [(r.content_hash, r.arrival) for r in fresh.collect()] == [("h1", 1)]
@@ -129,3 +137,63 @@ def test_stream_is_idempotent(spark, tmp_path):
     got = {r.aspect: r.mention_count for r in stream.current_scores(spark, store).collect()}
     assert got == {"battery": 1, "camera": 1, "display": 1}
     assert spark.read.parquet(f"{store}/reviews").count() == 3
+
+
+def test_demo_corpus_is_the_same_on_every_run(spark):
+    rows = demo.reviews(spark, 30)
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, demo.reviews(spark, 30).repartition(3).collect())) and rows.count() == 120
+    assert sorted(map(tuple, demo.reviews(spark, 30, seed=1).collect())) != sorted(map(tuple, rows.collect()))
+    made = pipeline.analyse(pipeline.clean_reviews(rows)).scores
+    best = {r.product_id: r.score for r in made.where("aspect = 'price'").collect()}
+    assert set(best) == {0, 1, 2, 3} and max(best, key=best.get) == 2 and min(best, key=best.get) in (1, 3)
+    empty = rows.limit(0)
+    assert demo.bootstrap(spark, rows) is None and demo.bootstrap(spark, empty, rows).count() == 120
+    assert demo.bootstrap(spark, empty, empty, demo=True).count() == 96 and demo.bootstrap(spark, empty).count() == 0
+
+
+def test_jobs_report_and_stop(spark):
+    def work(progress):
+        progress(1, 2, "half")
+        return spark.range(10).count()
+
+    job = jobs.start(spark, "count", work).wait(60)
+    assert (job.state, job.result, job.done, job.total, job.message) == ("done", 10, 1, 2, "half")
+    assert jobs.start(spark, "broken", lambda progress: 1 / 0).wait(60).state == "failed"
+    begun = threading.Event()
+
+    def endless(progress):
+        for k in range(10_000):
+            begun.set()
+            time.sleep(0.01)
+            progress(k, 10_000, "going on")
+
+    job = jobs.start(spark, "endless", endless)
+    begun.wait(30)
+    jobs.cancel(spark, job)
+    assert job.wait(60).state == "cancelled"
+
+
+def test_workflow_of_empty_tables(spark):
+    none = spark.createDataFrame([], "product_id long, observed_at int, price double, currency string, availability string")
+    assert workflow.price_appends(none, none).count() == 0
+    assert workflow.pair_match(spark.createDataFrame([], "gold_aspect string, aspect string, gold string, predicted string")).first().pairs == 0
+    assert metrics.ranking_quality(*(spark.createDataFrame([], f"session_id string, {c} double") for c in ("ndcg", "spearman"))).first().note == "none yet"
+    try:
+        workflow.required(none, ["asin"])
+        raise AssertionError("a missing column must be refused")
+    except ValueError:
+        pass
+
+
+def test_command_line(spark, tmp_path):
+    store = str(tmp_path / "store")
+    cli.seed_demo(spark, store, 20)
+    cli.analyse(spark, store, EngineConfig())
+    counts = {r.stage: r.n for r in cli.status(spark, store).collect()}
+    assert (counts["products"], counts["scored_products"]) == (4, 4) and counts["reviews"] <= 80 and counts["aspect_rows"] > 50
+    assert cli.recommend(spark, store, {"price": 1}, 2, "weighted").count() == 2
+    written = cli.evidence(spark, store, str(tmp_path / "evidence"))
+    assert sorted(written)[0] == "01_products" and spark.read.option("header", True).csv(written["09_scores"]).count() > 4
+    assert set(cli.export(spark, store, str(tmp_path / "export"))) == set(workflow.EXPORTS)
+    cli.purge(spark, store, "demo")
+    assert {r.n for r in cli.status(spark, store).collect()} == {0}
