@@ -80,19 +80,25 @@ def test_near_duplicates_in_large_clusters(spark, monkeypatch):
 
 
 def test_hot_buckets_of_unlike_documents(spark, monkeypatch):
-    """Documents that share a passage meet in one bucket by the hundred; their own near copies are still found."""
+    """Documents that share a passage meet in one bucket although they are unlike; copies among them are still found."""
     monkeypatch.setattr(near_dedup, "HOT", 8)
-    monkeypatch.setattr(near_dedup, "LOOSE", 60)
+    monkeypatch.setattr(near_dedup, "LOOSE", 90)  # no clusters: all links are found between buckets' members
     rng = random.Random(4)
-    passage = " ".join(f"p{i}" for i in range(70))
+    passage = [f"p{i}" for i in range(300)]
     rows = []
-    for i in range(120):
+    for i in range(60):
         own = [f"d{i}x{j}" for j in range(80)]
-        rows.append((2 * i, passage + " " + " ".join(own)))
+        rows.append((2 * i, " ".join(passage + own)))
         if i % 3 == 0:
-            own[rng.randrange(80)] = "changed"
-            rows.append((2 * i + 1, passage + " " + " ".join(own)))
+            for k in rng.sample(range(0, 80, 6), 8):
+                own[k] = f"c{i}x{k}"
+            rows.append((2 * i + 1, " ".join(passage + own)))
+    split = []
+    whole = near_dedup._small_buckets
+    monkeypatch.setattr(near_dedup, "_small_buckets", lambda named, reps: split.append((named.count(), whole(named, reps))) or split[-1][1])
     check_near(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), rows)
+    sizes = split[0][1].groupBy("key").count().agg(F.max("count")).first()[0]
+    assert sizes < 40  # of eighty in the buckets before
 
 
 def test_scratch_folders(spark, monkeypatch):
