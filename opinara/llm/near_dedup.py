@@ -13,8 +13,9 @@ Plan for one table of ``n`` documents:
 * a cluster is cut into blocks of about ``BLOCK`` documents.  Each block meets the first block in one task, where all
   pairs are looked at in memory, most alike first, and only what is not yet connected is confirmed on the full
   shingle sets.  In large clusters the documents outside the main component then meet every block, so no pair of
-  different components stays untested;
-* members of one bucket in different clusters are compared pair by pair.
+  different components stays untested: first by their signatures, then with the texts of those that may have a link;
+* members of one bucket in different clusters are compared pair by pair, after large buckets are split by further
+  slots (``_small_buckets``).
 
 A pair is confirmed on full sets unless its signature estimate lies ``SLACK`` (about five standard deviations) below the
 threshold.
@@ -221,7 +222,7 @@ def _link_tile(words: int, threshold: int):
         table = table.combine_chunks()
         ids, groups = table.column("rep").to_numpy(), table.column("comp").to_numpy()
         wanted = table.column("wanted").to_numpy(zero_copy_only=False).astype(bool)
-        a, b = link_block(ids, _sets_of(table.column("text"), words), groups, threshold, None if wanted.all() else wanted)
+        a, b = link_block(ids, _sets_of(table.column("load"), words), groups, threshold, None if wanted.all() else wanted)
         if table.num_rows >= 64:
             store.trim()
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
@@ -251,35 +252,71 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
 
 
-def _cluster_links(members: DataFrame, texts: DataFrame, words: int, threshold: int) -> DataFrame:
+def _likely_tile(threshold: int):
+    """The documents of a tile that may have a link there, by their signatures alone."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        n = table.num_rows
+        small = np.frombuffer(b"".join(table.column("load").to_pylist()), dtype=np.uint8).reshape(n, SLOTS)
+        groups = table.column("comp").to_numpy()
+        wanted = table.column("wanted").to_numpy(zero_copy_only=False).astype(bool)
+        least = (threshold - SLACK) / 100 * (1 - 1 / 256) + 1 / 256
+        likely = np.zeros(n, dtype=bool)
+        for i in range(n - 1):
+            fits = ((small[i + 1 :] == small[i]).sum(axis=1) >= least * SLOTS) & (groups[i + 1 :] != groups[i])
+            if not wanted[i]:
+                fits &= wanted[i + 1 :]
+            likely[i] |= fits.any()
+            likely[i + 1 :] |= fits
+        return pa.table({"rep": pa.array(table.column("rep").to_numpy()[likely], pa.int64())})
+
+    return run
+
+
+def _meetings(apart: DataFrame, loads: DataFrame):
+    """Documents (``rep, cluster, comp, main``) dealt to tiles, each with its load (``rep, load``).
+
+    Documents outside the main component of their cluster meet it block by block, and each other part by part.
+    """
+    wanted = F.col("comp") != F.col("main")
+    sizes = apart.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"), F.greatest(F.lit(1), F.ceil(F.count_if(wanted) / F.lit(BLOCK))).cast("int").alias("parts"))
+    rows = apart.join(sizes, "cluster").join(loads, "rep")
+    block, part = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")).cast("int")
+    all_blocks, all_parts = F.sequence(F.lit(0), F.col("blocks") - 1), F.sequence(F.lit(0), F.col("parts") - 1)
+    # a document's places: (tile, part); tiles below zero are for pairs of parts
+    main = F.transform(all_parts, lambda k: F.struct(block.alias("tile"), k.alias("part")))
+    others = F.transform(all_parts, lambda k: F.struct((-1 - F.least(part, k)).alias("tile"), F.greatest(part, k).alias("part")))
+    outside = F.concat(F.transform(all_blocks, lambda k: F.struct(k.alias("tile"), part.alias("part"))), others)
+    placed = rows.withColumn("at", F.explode(F.when(wanted, outside).otherwise(main)))
+    return placed.select("cluster", "at.tile", "at.part", "rep", "comp", wanted.alias("wanted"), "load").groupBy("cluster", "tile", "part")
+
+
+def _cluster_links(members: DataFrame, signatures: DataFrame, texts: DataFrame, words: int, threshold: int) -> DataFrame:
     """Links that connect the documents (``rep, cluster``) of every cluster."""
     work = _link_tile(words, threshold)
     sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     placed = members.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # the first block goes to every task of its cluster, the others to their own
     dealt = placed.join(texts, "rep").withColumn("tile", F.explode(F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))))
-    first = dealt.select("cluster", "tile", "rep", F.col("rep").alias("comp"), F.lit(True).alias("wanted"), "text").groupBy("cluster", "tile").applyInArrow(work, "a long, b long")
+    first = dealt.select("cluster", "tile", "rep", F.col("rep").alias("comp"), F.lit(True).alias("wanted"), F.col("text").alias("load")).groupBy("cluster", "tile").applyInArrow(work, "a long, b long")
     links = store.materialise(first, "near-links")
     large = store.materialise(placed.where("blocks > 1"), "near-large", thin=True)
     if large.isEmpty():
         return links
     grouped = connected_components(links).withColumnRenamed("node", "rep")
-    named = large.join(grouped, "rep", "left").select("rep", "cluster", "blocks", "own", F.coalesce("component", "rep").alias("comp"))
+    named = large.join(grouped, "rep", "left").select("rep", "cluster", F.coalesce("component", "rep").alias("comp"))
     per = named.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
     main = per.groupBy("cluster").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    main = main.where("most < all").withColumn("parts", F.ceil((F.col("all") - F.col("most")) / F.lit(BLOCK)).cast("int")).select("cluster", "main", "parts")
-    apart = store.materialise(named.join(main, "cluster"), "near-apart", thin=True)
+    apart = store.materialise(named.join(main.where("most < all").select("cluster", "main"), "cluster"), "near-apart", thin=True)
     if apart.isEmpty():
         return links
-    wanted = F.col("comp") != F.col("main")
-    part = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")).cast("int")
-    with_text = apart.join(texts, "rep")
-    rows = with_text.where(~wanted).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("cluster", F.col("own").alias("tile"), "part", "rep", "comp", F.lit(False).alias("wanted"), "text")
-    outside = with_text.where(wanted).withColumn("part", part).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", "tile", "part", "rep", "comp", F.lit(True).alias("wanted"), "text")
-    # documents outside the main component meet it block by block, and each other part by part
-    others = with_text.where(wanted).withColumn("part", part).withColumn("next", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    others = others.select("cluster", F.least("part", "next").alias("tile"), F.greatest("part", "next").alias("part"), "rep", "comp", F.lit(True).alias("wanted"), "text").withColumn("tile", -1 - F.col("tile"))
-    second = rows.unionAll(outside).unionAll(others).groupBy("cluster", "tile", "part").applyInArrow(work, "a long, b long")
+    # signatures say who may have a link to another component; only those texts are dealt
+    likely = _meetings(apart, signatures.select("rep", F.col("sig").alias("load"))).applyInArrow(_likely_tile(threshold), "rep long")
+    apart = store.materialise(apart.join(store.materialise(likely, "near-likely").distinct(), "rep", "left_semi"), "near-apart", thin=True)
+    if apart.isEmpty():
+        return links
+    second = _meetings(apart, texts.select("rep", F.col("text").alias("load"))).applyInArrow(work, "a long, b long")
     return links.unionAll(store.materialise(second, "near-links"))
 
 
@@ -337,7 +374,7 @@ def near_duplicates(docs: DataFrame, words: int = shingles.WORDS, threshold: int
     clusters = connected_components(loose).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     texts = source.where("doc_id IS NOT NULL")
     near_texts = store.materialise(_texts_of(texts, clusters), "near-texts")
-    links = _cluster_links(clusters, near_texts, words, threshold)
+    links = _cluster_links(clusters, reps, near_texts, words, threshold)
 
     named = members.select("key", "rep").join(clusters, "rep", "left").select("key", "rep", F.coalesce("cluster", "rep").alias("cluster"))
     apart = _small_buckets(store.materialise(named, "near-named"), reps)
