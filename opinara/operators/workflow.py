@@ -226,3 +226,31 @@ def pair_match(labelled: DataFrame) -> DataFrame:
     told = labelled.where(name(F.col("gold_aspect")) != "")
     right = (name(F.col("gold_aspect")) == name(F.col("aspect"))) & F.coalesce(F.col("gold") == F.col("predicted"), F.lit(False))
     return told.agg(F.count("*").alias("pairs"), F.round(F.avg(right.cast("int")), 4).alias("rate"))
+
+
+def gold_template(mentions: DataFrame, sentences: DataFrame) -> DataFrame:
+    """Rows for a person to label: the mention, its sentence, and empty columns for the true sentiment and notes."""
+    told = mentions.join(sentences.select("sentence_id", F.col("text").alias("sentence_text")), "sentence_id")
+    return told.select("sentence_id", "sentence_text", "aspect", F.col("sentiment").alias("predicted_sentiment"), "method", F.lit("").alias("gold_sentiment"), F.col("aspect").alias("gold_aspect"), F.lit("").alias("notes"))
+
+
+def feedback_rows(requests: DataFrame) -> DataFrame:
+    """Feedback as it is stored, from ``session_id, satisfaction, comment, ranking_method, ratings``.
+
+    ``ratings`` is an array of ``(product_id, satisfaction)``.  The overall satisfaction is the one given, else the
+    mean of the ratings rounded half to even, within 1 to 5; requests with neither are left out.
+    """
+    filled = lambda c: F.nullif(F.trim(c), F.lit(""))
+    ratings = F.coalesce("ratings", F.array().cast("array<struct<product_id:bigint,satisfaction:int>>"))
+    total = F.aggregate(ratings, F.lit(0), lambda a, r: a + r["satisfaction"])
+    mean = F.when(F.size(ratings) > 0, F.bround(total / F.size(ratings), 0).cast("int"))
+    overall = F.coalesce(F.col("satisfaction"), F.least(F.lit(5), F.greatest(F.lit(1), mean)))
+    rows = requests.select(
+        filled("session_id").alias("session_id"),
+        F.when(F.col("satisfaction").isNotNull() | (F.size(ratings) > 0), overall).alias("satisfaction"),
+        filled("comment").alias("comment"),
+        F.coalesce(filled("ranking_method"), F.lit("weighted")).alias("ranking_method"),
+        F.when(F.size(ratings) > 0, F.transform(ratings, lambda r: r["product_id"])).alias("top_products"),
+        F.when(F.size(ratings) > 0, ratings).alias("ratings"),
+    )
+    return rows.where("satisfaction IS NOT NULL")

@@ -244,3 +244,42 @@ def evidence_sentiments(spark, sf_dir):
 @query(with_views(f"SELECT r.review_id, p.name AS product_name FROM reviews r LEFT JOIN products p ON p.product_id = r.product_id WHERE {_DECISION} = 'kept'"))
 def evidence_kept(spark, sf_dir):
     return _evidence(spark, sf_dir)["04_reviews_kept"].select("review_id", "product_name")
+
+
+@query(textual._judged("SELECT review_id * 1000 + position AS sentence_id, text AS sentence_text, aspect, sentiment AS predicted_sentiment, '' AS gold_sentiment, aspect AS gold_aspect FROM sentences JOIN mentions USING (review_id, product_id, position)"))
+def gold_template(spark, sf_dir):
+    rows = textual._sentences(spark, sf_dir).withColumn("sentence_id", F.col("review_id") * 1000 + F.col("position"))
+    from opinara.functions import annotating
+
+    made = workflow.gold_template(annotating.mention_rows(rows), rows)
+    return made.drop("method", "notes")
+
+
+@query(
+    """WITH r AS (SELECT CAST(user_id AS VARCHAR) AS session_id, CASE WHEN user_id % 5 = 0 THEN 4 END AS given, round_even(avg(1 + event_id % 5), 0) AS mean, user_id % 7 = 0 AS bare, count(*) AS n FROM events GROUP BY user_id)
+  SELECT session_id, CAST(coalesce(given, mean) AS INTEGER) AS satisfaction, CASE WHEN CAST(session_id AS BIGINT) % 3 = 0 THEN 'star_rating' ELSE 'weighted' END AS ranking_method, CASE WHEN bare THEN NULL ELSE n END AS rated FROM r WHERE given IS NOT NULL OR NOT bare"""
+)
+def feedback_insert(spark, sf_dir):
+    e = views.table(spark, sf_dir, "events")
+    ratings = e.groupBy("user_id").agg(F.collect_list(F.struct(F.col("event_id").alias("product_id"), (1 + F.col("event_id") % 5).cast("int").alias("satisfaction"))).alias("ratings"))
+    k = F.col("user_id")
+    requests = ratings.select(
+        F.concat(F.lit(" "), k.cast("string")).alias("session_id"),
+        F.when(k % 5 == 0, F.lit(4)).alias("satisfaction"),
+        F.lit("  ").alias("comment"),
+        F.when(k % 3 == 0, F.lit("star_rating ")).when(k % 3 == 1, F.lit(" ")).alias("ranking_method"),
+        F.when(k % 7 > 0, F.col("ratings")).alias("ratings"),
+    )
+    made = workflow.feedback_rows(requests)
+    return made.select("session_id", "satisfaction", "ranking_method", F.when(F.col("ratings").isNotNull(), F.size("ratings")).cast("long").alias("rated"))
+
+
+@query("SELECT page_id, page_id % 4 = 0 OR page_id % 4 = 1 AS sign_in, page_id % 3 = 0 AS robot FROM pages")
+def challenge_pages(spark, sf_dir):
+    from opinara.sources import pages
+
+    k = F.col("page_id")
+    url = F.when(k % 4 == 0, F.concat("url", F.lit("/ap/signin"))).otherwise(F.col("url"))
+    mark = F.when(k % 4 == 1, F.lit("<form>Sign In <div id=\"authportal-x\">")).otherwise(F.lit("<p>sign in</p>"))
+    html = F.concat(mark, F.when(k % 3 == 0, F.lit("<h4>Robot Check</h4>")).otherwise(F.lit("")), "html")
+    return views.table(spark, sf_dir, "pages").select("page_id", pages.asks_to_sign_in(url, html).alias("sign_in"), pages.asks_for_a_person(html).alias("robot"))

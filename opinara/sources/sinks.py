@@ -43,6 +43,22 @@ def pack(tables: dict[str, DataFrame], folder: str, stamped: bool = True, files:
     return out
 
 
+def preview(spark: SparkSession, path: str, most: int = 50) -> DataFrame:
+    """The first rows of a pack's table."""
+    rows = spark.read.option("header", True).csv(path)
+    return rows.withColumnRenamed(rows.columns[0], rows.columns[0].lstrip("\ufeff")).limit(most)
+
+
+def stage_files(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
+    """``name, path, exists`` of the tables that a pack should hold."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    rows = []
+    for name in names:
+        where = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}.csv")
+        rows.append((name, where.toString(), bool(where.getFileSystem(conf).exists(where))))
+    return spark.createDataFrame(rows, "name string, path string, exists boolean")
+
+
 def report(spark: SparkSession, value: dict, path: str) -> None:
     """A small report as one JSON document."""
     text = json.dumps(value, ensure_ascii=False, indent=2, default=str)

@@ -194,6 +194,8 @@ def test_command_line(spark, tmp_path):
     assert cli.recommend(spark, store, {"price": 1}, 2, "weighted").count() == 2
     written = cli.evidence(spark, store, str(tmp_path / "evidence"))
     assert sorted(written)[0] == "01_products" and spark.read.option("header", True).csv(written["09_scores"]).count() > 4
+    assert sinks.preview(spark, written["09_scores"], 3).columns[0] == "product_id" and sinks.preview(spark, written["09_scores"], 3).count() == 3
+    assert [r.exists for r in sinks.stage_files(spark, str(tmp_path / "evidence"), ["01_products", "11_none"]).collect()] == [True, False]
     assert set(cli.export(spark, store, str(tmp_path / "export"))) == set(workflow.EXPORTS)
     cli.purge(spark, store, "demo")
     assert {r.n for r in cli.status(spark, store).collect()} == {0}
