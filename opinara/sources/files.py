@@ -33,9 +33,13 @@ def require(columns, needed) -> None:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, required=()) -> DataFrame:
-    """A CSV by column name; columns that the file lacks are null, its further columns are ignored."""
-    options = {"header": True, "multiLine": True, "escape": '"'}
+def read_csv(spark: SparkSession, path: str, schema: str, required=(), multi_line: bool = True) -> DataFrame:
+    """A CSV by column name; columns that the file lacks are null, its further columns are ignored.
+
+    Quoted cells may hold line breaks, so a file is read by one task; without ``multi_line`` (no cell holds any)
+    large files are split.
+    """
+    options = {"header": True, "multiLine": multi_line, "escape": '"'}
     present = spark.read.options(**options).csv(path).columns  # the header line only
     require(present, required)
     text = spark.read.options(**options).schema(", ".join(f"`{c}` string" for c in present)).csv(path)
@@ -43,8 +47,8 @@ def read_csv(spark: SparkSession, path: str, schema: str, required=()) -> DataFr
     return text.select(*((F.col(f"`{c}`").try_cast(t) if c in present else F.lit(None).cast(t)).alias(c) for c, t in kinds))
 
 
-def review_csv(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, REVIEW_CSV, REVIEW_CSV_REQUIRED).withColumn("row_id", F.monotonically_increasing_id())
+def review_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    return read_csv(spark, path, REVIEW_CSV, REVIEW_CSV_REQUIRED, multi_line).withColumn("row_id", F.monotonically_increasing_id())
 
 
 def metadata(spark: SparkSession, path: str) -> DataFrame:
