@@ -91,7 +91,7 @@ def gold_labels(spark: SparkSession, path: str) -> DataFrame:
 def small_json(spark: SparkSession, path: str):
     """A one-object file such as a manifest; None where it is missing or unreadable."""
     try:
-        rows = spark.read.option("wholetext", True).text(path).collect()  # one file, one row
+        rows = spark.read.text(path, wholetext=True).collect()  # one file, one row
         return json.loads(rows[0][0]) if rows else None
     except Exception:  # an absent or broken file counts as none
         return None
