@@ -68,7 +68,7 @@ def spearman(items: DataFrame, min_items: int = 3) -> DataFrame:
     # ranks are multiples of a half, so these sums are exact and a zero variance is exactly zero
     spread = (F.col("n") * F.col("xx") - F.col("sx") ** 2) * (F.col("n") * F.col("yy") - F.col("sy") ** 2)
     c = F.try_divide(F.col("n") * F.col("xy") - F.col("sx") * F.col("sy"), F.sqrt(spread))
-    return got.select("session_id", F.when(F.col("n") >= min_items, F.round(c, 4)).alias("spearman"))
+    return got.select("session_id", F.when(F.col("n") >= min_items, F.round(c, 4) + 0.0).alias("spearman"))  # minus zero is zero
 
 
 def session_satisfaction(items: DataFrame) -> DataFrame:

@@ -258,7 +258,7 @@ def ndcg_sessions(spark, sf_dir):
 
 @query(
     with_views(
-        """SELECT session_id, CASE WHEN count(*) < 3 OR min(rank) = max(rank) OR min(a) = max(a) THEN NULL ELSE round(corr(CAST(rank AS DOUBLE), CAST(a AS DOUBLE)), 4) END AS spearman FROM
+        """SELECT session_id, CASE WHEN count(*) < 3 OR min(rank) = max(rank) OR min(a) = max(a) THEN NULL ELSE round(corr(CAST(rank AS DOUBLE), CAST(a AS DOUBLE)), 4) + 0.0 END AS spearman FROM
   (SELECT *, rank() OVER (PARTITION BY session_id ORDER BY satisfaction DESC) + (count(*) OVER (PARTITION BY session_id, satisfaction) - 1) / 2 AS a FROM items) GROUP BY 1"""
     )
 )

@@ -37,9 +37,8 @@ def test_matches_sql(name, spark, duck, sf_dir):
     assert ours == theirs and ours
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
-def test_runs(name, spark, sf_dir):
-    assert catalogue.queries()[name](spark, sf_dir).limit(5).collect()
+def test_every_query_has_sql():
+    assert set(catalogue.queries()) == set(catalogue.oracle_sql())
 
 
 def test_entry(spark):
