@@ -250,6 +250,10 @@ def test_embeddings(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 7)
     check_vectors(by_id(embedding_dedup.embedding_duplicates(df), "vec_id"), odd)
     assert embedding_dedup.embedding_duplicates(df.limit(0)).count() == 0
+    # rows of one id: each is a vector of its own, they share the id's component; a null id has none
+    repeated = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [0.0, 1.0], 0), (None, [1.0, 0.0], 0)]
+    got = embedding_dedup.embedding_duplicates(spark.createDataFrame(repeated, "vec_id long, embedding array<double>, label int")).collect()
+    assert len(got) == 5 and {r.component_id for r in got if r.vec_id} == {1} and [(r.n_links, r.component_id, r.kept) for r in got if r.vec_id is None] == [(0, None, True)]
 
 
 def check_warc(got, rows):

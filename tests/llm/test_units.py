@@ -304,3 +304,14 @@ def test_toxicity_learns_and_has_defined_edges():
     assert ((0 <= edge) & (edge <= 1)).all() and (edge[:3] < toxicity.CUT).all()
     assert model.scores([]).shape == (0,)
     assert (toxicity.train([], []).scores(["anything"]) < 0.01).all()
+
+
+def test_marked_letters():
+    rng = random.Random(5)
+    for _ in range(300):
+        data = bytes(rng.choice(b"  abcxyz09.\xc3\xa9") for _ in range(rng.randrange(40)))
+        want, since = [], 0
+        for b in data:
+            since = 0 if b == 0x20 else since + 1
+            want.append(b - 0x20 if 0x61 <= b <= 0x7A and since <= toxicity.MARKED else b)
+        assert toxicity.marked(data) == bytes(want)
