@@ -13,7 +13,7 @@ by their paths they are the host's template.  Its slots are what stands between
   template, not of a slot; outside an article also a text that TEXT_SHARE of the pages repeat.
 
 Element names and roles say what menus, headers, footers, side bars and forms are; class names are used where no
-template is known, and for a few unambiguous blocks (reader comments, adverts) inside an article.  A host with fewer than
+template is known, and whole names of containers (reader comments, adverts, notices, side bars) inside an article.  A host with fewer than
 LEAST_PAGES pages uses the template of all pages together.
 """
 
@@ -57,8 +57,12 @@ _BOILER_NAMES = frozenset(
     "ad ads advert advertisement adverts adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay menu navigation navbar nav topnav breadcrumb breadcrumbs "
     "sidebar side-bar rail widget widgets footer foot copyright legal header masthead topbar comment comments reply replies disqus respond share sharing social related recommended newsletter subscribe signup login search".split()
 )
-# Whole class names of containers that are no part of an article although they stand in it.
-_FOREIGN_NAMES = frozenset("comments comment-list commentlist comment-section reader-comments disqus_thread ad ads advert advertisement adsbygoogle cookie-notice cookie-banner".split())
+# Whole class names of containers and lists that are no part of an article although they stand in it.
+_FOREIGN_NAMES = frozenset(
+    "comments comment-list commentlist comment-section reader-comments user-comments disqus_thread ad ads advert adverts advertisement adsbygoogle sponsored promo notice notices cookie-notice cookie-banner cookie-consent popup "
+    "sidebar side-bar menu navbar breadcrumb breadcrumbs share social-share sharing related related-posts newsletter newsletter-signup subscribe".split()
+)
+_FOREIGN_TAGS = _CONTAINERS | {"ul", "ol", "dl", "table"}
 
 _NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
 _STOP = re.compile(r"[\"'>]")
@@ -156,7 +160,7 @@ class _Kind:
                 self.main = True
             else:
                 self.named |= tag not in ("html", "body") and not {name, *re.split(r"[-_]+", name)}.isdisjoint(_BOILER_NAMES)
-                self.foreign |= tag in _CONTAINERS and name in _FOREIGN_NAMES
+                self.foreign |= tag in _FOREIGN_TAGS and name in _FOREIGN_NAMES
 
 
 class _Node:
@@ -412,9 +416,8 @@ def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         F.min("depth").alias("depth"),
         *(F.max(c).alias(c) for c in ("container", "main", "out", "heading")),
     )
-    # a token of one page belongs to no class of a host with more: it is left out where it was counted
     by_host = store.materialise(total(stats), "page-tokens")
-    everywhere = total(by_host.where("kind <> 'text' OR pages > 1").withColumn("host", F.lit("*")))
+    everywhere = total(by_host.where("kind <> 'copy' OR pages > 1").withColumn("host", F.lit("*")))
     tokens = by_host.unionAll(everywhere.select(by_host.columns))
     sizes = tokens.where("kind = 'page'").select(F.col("host").alias("h"), F.col("pages").alias("host_pages"))
     frequent = tokens.join(sizes, F.col("host") == F.col("h")).where((F.col("pages") >= F.lit(VALID_SHARE) * F.col("host_pages")) & ((F.col("host_pages") >= LEAST_PAGES) | (F.col("host") == "*")))

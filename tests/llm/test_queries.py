@@ -396,6 +396,9 @@ def test_html_details():
     assert text("<button-group>x</button-group><p>main text</p><template-x>y</template-x>") == "x\nmain text\ny"
     assert text("<p>one<p>two<li>three<li>four") == "one\ntwo\nthree\nfour"
     assert text("<article><p>t</p><div class='comments'><p>c</p></div><aside>a</aside><form>f</form></article><div class=ad>b</div>") == "t"
+    single = "<body><header><h1>Site</h1></header><main><article><header><h1>T</h1></header><p>a</p><section id='comments'><article class='comment'><p>c</p></article></section><ul class='share'><li>s</li></ul><p class='notice-text'>n</p></article></main><footer>f</footer>"
+    assert text(single) == "T\na\nn"
+    assert text("<div id='content'><h2>H</h2><p>one</p></div><div class='sidebar'><p>x</p></div><div class='cookie-banner'>y</div><ul><li><a href='/'>home</a></li></ul>") == "H\none"
     assert text("a < b<p title='x>y'>c &lt;d&gt; &#233;</p><script>if (a < b) '<p>no</p>'</script><style>p{}</style><!-- no <p>no</p> -->") == "a < b\nc <d> é"
     assert text(None) == text("") == text("<p> \n </p>") == ""
 
