@@ -68,11 +68,18 @@ def windows(texts: list[str | None], words: int = WINDOW_WORDS) -> tuple[bytes,
 
 
 def marked(data: bytes) -> bytes:
-    """Folded bytes with the first letters of each word in capitals: the inside of a word matches no beginning."""
-    out = np.frombuffer(data, dtype=np.uint8)
-    at = np.arange(len(out))
-    since = at - np.maximum.accumulate(np.where(out == 0x20, at, -1)) if len(out) else at
-    return np.where((since >= 1) & (since <= MARKED) & (out >= 0x61) & (out <= 0x7A), out - 0x20, out).astype(np.uint8).tobytes()
+    """Folded bytes with the first letters of each word in capitals: the inside of a word matches no beginning.
+
+    Works on single bytes, so a long text takes a few times its own size.
+    """
+    out = np.frombuffer(data, dtype=np.uint8).copy()
+    blank = np.concatenate([[True], out == 0x20])  # a blank stands before the data
+    near = np.zeros(len(out), dtype=bool)
+    for k in range(min(MARKED, len(out))):
+        near[k:] |= blank[: len(out) - k]
+    near &= (out >= 0x61) & (out <= 0x7A)
+    out[near] -= 0x20
+    return out.tobytes()
 
 
 @dataclass
