@@ -417,12 +417,14 @@ def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         *(F.max(c).alias(c) for c in ("container", "main", "out", "heading")),
     )
     by_host = store.materialise(total(stats), "page-tokens")
-    everywhere = total(by_host.where("kind <> 'copy' OR pages > 1").withColumn("host", F.lit("*")))
-    tokens = by_host.unionAll(everywhere.select(by_host.columns))
-    sizes = tokens.where("kind = 'page'").select(F.col("host").alias("h"), F.col("pages").alias("host_pages"))
-    frequent = tokens.join(sizes, F.col("host") == F.col("h")).where((F.col("pages") >= F.lit(VALID_SHARE) * F.col("host_pages")) & ((F.col("host_pages") >= LEAST_PAGES) | (F.col("host") == "*")))
+    sizes = store.materialise(by_host.where("kind = 'page'").select(F.col("host").alias("h"), F.col("pages").alias("host_pages")), "host-sizes", thin=True)
+    whole = sizes.agg(F.sum("host_pages")).first()[0] or 0
+    everywhere = total(by_host.where("kind <> 'copy' OR pages > 1").withColumn("host", F.lit("*"))).where(F.col("pages") >= VALID_SHARE * whole)
+    # a valid token of a host of LEAST_PAGES pages is on two of them: most tokens never reach the join
+    own = by_host.where("pages > 1").join(sizes.where(F.col("host_pages") >= LEAST_PAGES), F.col("host") == F.col("h")).where(F.col("pages") >= F.lit(VALID_SHARE) * F.col("host_pages"))
+    frequent = own.select(_NAMES).unionAll(everywhere.select(_NAMES))
     # a host keeps at most 1 / VALID_SHARE times the tokens of one page: small groups, whatever its size
-    return frequent.select(_NAMES).groupBy("host").applyInArrow(_template_batches, "host string, template string")
+    return frequent.groupBy("host").applyInArrow(_template_batches, "host string, template string")
 
 
 def _extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
