@@ -107,6 +107,11 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def _letters(text: Column, kind: str = "L") -> Column:
+    """How many characters of a kind a text has: what lies between them goes, run by run."""
+    return F.length(F.regexp_replace(text, rf"\P{{{kind}}}+", ""))
+
+
 def _two_letters(dense: Column) -> Column:
     """Whether a text is made of at most two different characters."""
     without = lambda t: F.replace(t, F.substring(t, 1, 1), F.lit(""))
@@ -122,14 +127,14 @@ def with_spam_reason(df: DataFrame, text: str, raw: str | None = None, name: str
     step = df.withColumns({"_low": low, "_words": F.regexp_extract_all(low, F.lit(r"([a-z']+)"), F.lit(1))})
     out = F.when(F.col("_low").isin(*_GENERIC), "generic_only")
     if raw is not None:
-        step = step.withColumns({"_dense": F.lower(F.regexp_replace(raw, r"(?U)\s+", "")), "_letters": _count(F.col(raw), r"\p{L}")})
+        step = step.withColumns({"_dense": F.lower(F.regexp_replace(raw, r"(?U)\s+", "")), "_letters": _letters(F.col(raw))})
         out = out.when((F.length("_dense") >= 12) & _two_letters(F.col("_dense")), "repeated_chars")
-        out = out.when((F.col("_letters") > 25) & (_count(F.col(raw), r"\p{IsUppercase}") > 0.8 * F.col("_letters")), "all_caps")
+        out = out.when((F.col("_letters") > 25) & (_letters(F.col(raw), "IsUppercase") > 0.8 * F.col("_letters")), "all_caps")
     n = F.size("_words")
     out = (
         out.when(n == 0, "no_alpha_content")
         .when((n >= 6) & (F.size(F.array_distinct("_words")) < 0.3 * n), "low_lexical_diversity")
-        .when(_count(F.col(text), r"\p{L}") < 0.45 * F.greatest(F.length(text), F.lit(1)), "low_alpha_ratio")
+        .when(_letters(F.col(text)) < 0.45 * F.greatest(F.length(text), F.lit(1)), "low_alpha_ratio")
         .when(_count(F.col(text), f"(?U){_URL}") >= 2, "link_spam")
     )
     return step.withColumn(name, out).drop("_low", "_words", "_dense", "_letters")

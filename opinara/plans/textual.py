@@ -48,7 +48,7 @@ REVIEW_TEXTS = f"""SELECT review_id, product_id, rating, {_sql_list(OPENERS)}[1
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return views.spread(views.table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id")
 
 
 _CANONICAL = "trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))"

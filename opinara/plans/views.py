@@ -18,6 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table of fewer files than cores dealt over all cores, for work that costs more than moving the rows.
+
+    A file of one row group is read by one task, however large; a table of many files stays as it lies.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def _pick(values, index):
     """``values[index]`` as a literal array lookup."""
     return F.element_at(F.array(*(F.lit(v) for v in values)), (index + 1).cast("int"))
