@@ -2,7 +2,7 @@
 
 A file is a row of sections, each with its own grammar and readable alone; a section holds the ids of consecutive
 documents (ascending id).  Re-Pair replaces the most frequent pairs of
-neighbouring symbols by nonterminals until no pair pays for its rule; a pair never spans two documents, so a
+neighbouring symbols by nonterminals until no pair occurs LEAST_COUNT times; a pair never spans two documents, so a
 document is a run of symbols and is decoded alone.  Pairs whose counts share a power of four are replaced in one
 vectorised step, the more frequent first where they overlap, and all counts are current when a step begins.
 
