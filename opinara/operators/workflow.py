@@ -228,9 +228,12 @@ def pair_match(labelled: DataFrame) -> DataFrame:
     return told.agg(F.count("*").alias("pairs"), F.round(F.avg(right.cast("int")), 4).alias("rate"))
 
 
-def gold_template(mentions: DataFrame, sentences: DataFrame) -> DataFrame:
-    """Rows for a person to label: the mention, its sentence, and empty columns for the true sentiment and notes."""
-    told = mentions.join(sentences.select("sentence_id", F.col("text").alias("sentence_text")), "sentence_id")
+def gold_template(mentions: DataFrame, sentences: DataFrame | None = None) -> DataFrame:
+    """Rows for a person to label: the mention, its sentence, and empty columns for the true sentiment and notes.
+
+    Mentions that bring their ``sentence_text`` are written as they come; for others it is looked up in ``sentences``.
+    """
+    told = mentions if sentences is None else mentions.join(sentences.select("sentence_id", F.col("text").alias("sentence_text")), "sentence_id")
     return told.select("sentence_id", "sentence_text", "aspect", F.col("sentiment").alias("predicted_sentiment"), "method", F.lit("").alias("gold_sentiment"), F.col("aspect").alias("gold_aspect"), F.lit("").alias("notes"))
 
 

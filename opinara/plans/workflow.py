@@ -251,7 +251,8 @@ def gold_template(spark, sf_dir):
     rows = textual._sentences(spark, sf_dir).withColumn("sentence_id", F.col("review_id") * 1000 + F.col("position"))
     from opinara.functions import annotating
 
-    made = workflow.gold_template(annotating.mention_rows(rows), rows)
+    # the text travels with its mentions: no join sorts all sentences a second time
+    made = workflow.gold_template(annotating.mention_rows(rows.withColumn("sentence_text", F.col("text"))))
     return made.drop("method", "notes")
 
 

@@ -185,6 +185,20 @@ def test_workflow_of_empty_tables(spark):
         pass
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString().splitlines()
+
+
+def test_gold_template_brings_its_sentences(spark, sf_dir):
+    from opinara.plans import catalogue
+
+    mentions = spark.createDataFrame([(7, "Battery drains.", "battery", "negative", "lexicon")], "sentence_id long, sentence_text string, aspect string, sentiment string, method string")
+    one = workflow.gold_template(mentions)
+    other = workflow.gold_template(mentions.drop("sentence_text"), mentions.select("sentence_id", F.col("sentence_text").alias("text")))
+    assert one.collect() == other.collect() == [(7, "Battery drains.", "battery", "negative", "lexicon", "", "battery", "")]
+    assert not [x for x in _plan(catalogue.queries()["gold_template"](spark, sf_dir)) if "SortMergeJoin" in x or "Exchange hashpartitioning" in x]
+
+
 def test_command_line(spark, tmp_path):
     store = str(tmp_path / "store")
     cli.seed_demo(spark, store, 20)
