@@ -145,9 +145,16 @@ def review_counts(reviews: DataFrame) -> DataFrame:
 
 
 def nested_review(reviews: DataFrame, sentences: DataFrame, mentions: DataFrame) -> DataFrame:
-    """Reviews with their sentences in order, each with its aspects; sentences without aspects are kept."""
-    per_sentence = mentions.groupBy("sentence_id").agg(F.array_sort(F.collect_list(F.struct("aspect", "sentiment"))).alias("aspects"))
+    """Reviews with their sentences in order, each with its aspects; sentences without aspects are kept.
+
+    Rows meet by key before they are gathered: lists gathered ahead of a shuffle shrink nothing, and their sorts spill
+    into many files whose read buffers fill the heap.  The numbers of partitions are given, since adaptive execution
+    would make few large ones of them.
+    """
+    parts = int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = lambda rows, key: rows.repartition(parts, key)
+    per_sentence = by(mentions, "sentence_id").groupBy("sentence_id").agg(F.array_sort(F.collect_list(F.struct("aspect", "sentiment"))).alias("aspects"))
     none = F.array().cast("array<struct<aspect:string,sentiment:string>>")
-    joined = sentences.join(per_sentence, "sentence_id", "left").withColumn("aspects", F.coalesce("aspects", none))
-    nested = joined.groupBy("review_id").agg(F.array_sort(F.collect_list(F.struct("position", "text", "aspects"))).alias("sentences"))
+    joined = by(sentences, "sentence_id").join(per_sentence, "sentence_id", "left").withColumn("aspects", F.coalesce("aspects", none))
+    nested = by(joined, "review_id").groupBy("review_id").agg(F.array_sort(F.collect_list(F.struct("position", "text", "aspects"))).alias("sentences"))
     return reviews.join(nested, "review_id", "left")

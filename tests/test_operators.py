@@ -199,6 +199,16 @@ def test_gold_template_brings_its_sentences(spark, sf_dir):
     assert not [x for x in _plan(catalogue.queries()["gold_template"](spark, sf_dir)) if "SortMergeJoin" in x or "Exchange hashpartitioning" in x]
 
 
+def test_nested_reviews_gather_after_the_shuffle(spark):
+    reviews = spark.createDataFrame([(1,), (2,)], "review_id long")
+    sentences = spark.createDataFrame([(1, 11, 1, "b"), (1, 10, 0, "a")], "review_id long, sentence_id long, position int, text string")
+    mentions = spark.createDataFrame([(11, "price", "neutral"), (11, "battery", "positive")], "sentence_id long, aspect string, sentiment string")
+    nested = corpus.nested_review(reviews, sentences, mentions)
+    assert sorted(nested.collect()) == [(1, [(0, "a", []), (1, "b", [("battery", "positive"), ("price", "neutral")])]), (2, None)]
+    plan = _plan(nested)
+    assert not [a for a, b in zip(plan, plan[1:]) if "Exchange hashpartitioning" in a and "partial_collect_list" in b]
+
+
 def test_command_line(spark, tmp_path):
     store = str(tmp_path / "store")
     cli.seed_demo(spark, store, 20)
