@@ -75,12 +75,17 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
 
 
 def last_records(spark: SparkSession, path: str, schema: str, key: str = "parent_asin") -> DataFrame:
-    """JSON lines by key, of which the last line wins."""
+    """JSON lines by key, of which the last line wins; in a folder that of the last file by name.
+
+    Files and their blocks are read in any order, so a line's place is its file, its block and its turn in the block.
+    """
     from pyspark.sql import Window
 
-    rows = spark.read.schema(schema).json(path).withColumn("_n", F.monotonically_increasing_id())
-    last = Window.partitionBy(key).orderBy(F.desc("_n"))
-    return rows.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_n", "_r")
+    lines = spark.read.schema(schema).json(path)
+    at = lines.metadataColumn("_metadata")
+    rows = lines.select("*", at["file_path"].alias("_f"), at["file_block_start"].alias("_b"), F.monotonically_increasing_id().alias("_n"))
+    last = Window.partitionBy(key).orderBy(F.desc("_f"), F.desc("_b"), F.desc("_n"))
+    return rows.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_f", "_b", "_n", "_r")
 
 
 def gold_labels(spark: SparkSession, path: str) -> DataFrame:

@@ -209,6 +209,13 @@ def test_nested_reviews_gather_after_the_shuffle(spark):
     assert not [a for a, b in zip(plan, plan[1:]) if "Exchange hashpartitioning" in a and "partial_collect_list" in b]
 
 
+def test_last_record_of_the_last_file(spark, tmp_path):
+    # the larger file is read first, whatever its name
+    (tmp_path / "a.json").write_text('{"parent_asin": "A", "value": 1}\n')
+    (tmp_path / "b.json").write_text('{"parent_asin": "A", "value": 2}\n{"parent_asin": "B", "value": 3}\n{"parent_asin": "B", "value": 4}\n')
+    assert sorted(files.last_records(spark, str(tmp_path), "parent_asin string, value long").collect()) == [("A", 2), ("B", 4)]
+
+
 def test_command_line(spark, tmp_path):
     store = str(tmp_path / "store")
     cli.seed_demo(spark, store, 20)
